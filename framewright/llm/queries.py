@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import packing, percentiles
+from framewright.llm import language, packing, percentiles
 from framewright.storage import materialize, read_table
 
 GROUPS = ("benchmark", "item_group", "arm")
@@ -45,5 +45,26 @@ def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "pack_specs"))
 
 
-QUERIES = {"p5_percentiles": p5_percentiles, "p5_merged": p5_merged, "p7_pack": p7_pack}
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every document (segment -1) and paragraph."""
+    docs = read_table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit_on(docs))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose label names no language or a wrong one; paragraphs of mixed documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = language.identify(docs.withColumn("label", F.col("lang")), language.fit_on(docs), keep=("doc_id", "label"))
+    wrong = (F.col("segment") == -1) & ~language.named_language(F.col("label")).eqNullSafe(F.col("lang"))
+    mixed = (F.col("segment") >= 0) & (F.col("n_languages") > 1)
+    return found.filter(F.col("lang").isNotNull() & (wrong | mixed)).select("doc_id", "segment", "lang").distinct()
+
+
+QUERIES = {
+    "p9_found": p9_found,
+    "p9_segments": p9_segments,
+    "p5_percentiles": p5_percentiles,
+    "p5_merged": p5_merged,
+    "p7_pack": p7_pack,
+}
 ORACLES = {"p5_percentiles": _P5}
