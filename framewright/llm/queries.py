@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import language, packing, percentiles
+from framewright.llm import language, leakage, packing, percentiles
 from framewright.storage import materialize, read_table
 
 GROUPS = ("benchmark", "item_group", "arm")
@@ -60,7 +60,19 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter(F.col("lang").isNotNull() & (wrong | mixed)).select("doc_id", "segment", "lang").distinct()
 
 
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leak with the words of the passage that it covers."""
+    return leakage.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "holdout_passages"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the passages that leaked into them."""
+    return p8_leaks(spark, sf_dir).select("doc_id", "passage_id").distinct()
+
+
 QUERIES = {
+    "p8_found": p8_found,
+    "p8_leaks": p8_leaks,
     "p9_found": p9_found,
     "p9_segments": p9_segments,
     "p5_percentiles": p5_percentiles,
