@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import language, leakage, packing, percentiles
+from framewright.llm import language, leakage, packing, percentiles, truncation
 from framewright.storage import materialize, read_table
 
 GROUPS = ("benchmark", "item_group", "arm")
@@ -70,7 +70,29 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).select("doc_id", "passage_id").distinct()
 
 
+def p6_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cut result with the evidence."""
+    r = read_table(spark, sf_dir, "item_results").select("result_id", "source", "text", "generation_tokens")
+    return truncation.cut_texts(r).select("result_id", "source", "cut_by").distinct()
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results whose text was cut off."""
+    return p6_cuts(spark, sf_dir).select("result_id").distinct()
+
+
+def p6_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of cut results in each source."""
+    cut = p6_cuts(spark, sf_dir).groupBy("source").agg(F.countDistinct("result_id").alias("n_cut"))
+    total = read_table(spark, sf_dir, "item_results").groupBy("source").agg(F.countDistinct("result_id").alias("n_results"))
+    n = F.coalesce("n_cut", F.lit(0))
+    return total.join(cut, "source", "left").select("source", "n_results", n.alias("n_cut"), (n / F.col("n_results")).alias("cut_share"))
+
+
 QUERIES = {
+    "p6_found": p6_found,
+    "p6_cuts": p6_cuts,
+    "p6_by_source": p6_by_source,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
     "p9_found": p9_found,
