@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import language, leakage, packing, percentiles, truncation
+from framewright.llm import defects, language, leakage, packing, percentiles, truncation
 from framewright.storage import materialize, read_table
 
 GROUPS = ("benchmark", "item_group", "arm")
@@ -89,7 +89,13 @@ def p6_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.join(cut, "source", "left").select("source", "n_results", n.alias("n_cut"), (n / F.col("n_results")).alias("cut_share"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results without a proper answer and their defect."""
+    return defects.find_defects(read_table(spark, sf_dir, "item_results"), read_table(spark, sf_dir, "bench_items"))
+
+
 QUERIES = {
+    "p3_found": p3_found,
     "p6_found": p6_found,
     "p6_cuts": p6_cuts,
     "p6_by_source": p6_by_source,
