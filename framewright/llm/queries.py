@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import defects, language, leakage, packing, percentiles, truncation
+from framewright.llm import defects, language, leakage, overlap, packing, percentiles, truncation
 from framewright.storage import materialize, read_table
 
 GROUPS = ("benchmark", "item_group", "arm")
@@ -94,7 +94,25 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defects.find_defects(read_table(spark, sf_dir, "item_results"), read_table(spark, sf_dir, "bench_items"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item and session pairs that stand in train and in another split."""
+    items = overlap.same_items(read_table(spark, sf_dir, "bench_items")).select(F.lit("item").alias("level"), "key_a", "key_b")
+    sessions = overlap.same_videos(read_table(spark, sf_dir, "session_arms")).select(F.lit("session").alias("level"), "key_a", "key_b")
+    return items.unionByName(sessions)
+
+
+def p4_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of each split and manifest that also stand in train, and how well they are covered."""
+    b = read_table(spark, sf_dir, "bench_items")
+    pairs = materialize(overlap.same_items(b))
+    hit = pairs.select(F.explode(F.array("key_a", "key_b")).alias("record_id"), "question_coverage").groupBy("record_id").agg(F.max("question_coverage").alias("coverage"))
+    held = b.filter("split <> 'train'").groupBy("record_id", "split", "manifest").agg(F.count("*").alias("_n"))
+    return held.join(hit, "record_id", "left").groupBy("split", "manifest").agg(F.count("*").alias("n_records"), F.count("coverage").alias("n_in_train"), F.avg("coverage").alias("mean_coverage"))
+
+
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_by_split": p4_by_split,
     "p3_found": p3_found,
     "p6_found": p6_found,
     "p6_cuts": p6_cuts,
