@@ -209,3 +209,44 @@ def cosine(a: Column, b: Column) -> Column:
 
 def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+def shifted_residual(cur: Column, prev: Column, width: int, height: int, block: int, dx: int, dy: int) -> Column:
+    """Mean absolute residual per block against the previous plane moved by (dx, dy), borders held."""
+
+    def moved(p: Column) -> Column:
+        order = [(min(max(y + dy, 0), height - 1)) * width + min(max(x + dx, 0), width - 1) + 1 for y in range(height) for x in range(width)]
+        return F.transform(F.array(*[F.lit(i) for i in order]), lambda i: F.element_at(p, i))
+
+    diff = let(prev, lambda p: F.zip_with(cur, moved(p), lambda a, b: F.abs(a.cast("double") - b.cast("double"))))
+    return F.transform(block_values(diff, width, height, block), mean)
+
+
+def bicubic(frames: DataFrame, grid: str, src: tuple[int, int], dst: tuple[int, int]) -> DataFrame:
+    """``clip, t, plane``: a grid resized by the cubic kernel (a = -0.5), borders held.
+
+    The weights depend on the shapes alone, so a batch of frames is one matrix
+    product.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def weights(n: int, m: int) -> np.ndarray:
+        out = np.zeros((m, n))
+        for i in range(m):
+            x = (i + 0.5) * n / m - 0.5
+            for k in range(int(np.floor(x)) - 1, int(np.floor(x)) + 3):
+                d = abs(x - k)
+                w = (1.5 * d - 2.5) * d * d + 1 if d <= 1 else ((-0.5 * d + 2.5) * d - 4) * d + 2 if d < 2 else 0.0
+                out[i, min(max(k, 0), n - 1)] += w
+        return out
+
+    both = np.kron(weights(src[0], dst[0]), weights(src[1], dst[1]))
+    s = frames.select("clip", "t", grid)
+
+    def run(batches):
+        for pdf in batches:
+            x = np.array(pdf[grid].tolist(), float).reshape(len(pdf), -1)
+            yield pd.DataFrame({"clip": pdf["clip"], "t": pdf["t"], "plane": list(x @ both.T) if len(pdf) else []})
+
+    return s.mapInPandas(run, f"clip {s.schema['clip'].dataType.simpleString()}, t bigint, plane array<double>")

@@ -76,3 +76,28 @@ def window_join(events: DataFrame, points: DataFrame, keys: Sequence[str], at: s
     e = events.withColumn("_b", F.floor(F.col(at) / length))
     p = points.withColumn("_b", F.explode(F.array(F.floor(F.col(point) / length), F.floor(F.col(point) / length) - 1)))
     return p.join(e, [*keys, "_b"]).filter((F.col(at) <= F.col(point)) & (F.col(at) > F.col(point) - length)).drop("_b")
+
+
+def sequence_digest(df: DataFrame, keys: Sequence[str], index: str, value: Column, chunk: int = 1024) -> DataFrame:
+    """``keys, n, digest``: an order-dependent SHA-256 of a sequence of any length.
+
+    ``index`` counts from 0 without gaps.  Chunks are hashed on their own, then
+    the hashes of the chunks in order, so no task holds a whole sequence.
+    """
+    part = df.select(*keys, F.floor(F.col(index) / chunk).alias("_c"), F.struct(F.col(index), value.alias("_v")).alias("_s"))
+    joined = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["_v"]), "|"), 256)
+    chunks = part.groupBy(*keys, "_c").agg(joined("_s").alias("_h"), F.count("*").alias("_n"))
+    return chunks.groupBy(*keys).agg(F.sum("_n").alias("n"), joined(F.struct("_c", F.col("_h").alias("_v"))).alias("digest"))
+
+
+def assign_segments(positions: DataFrame, segments: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
+    """Adds the ``start`` of the segment that holds each position; positions outside have none.
+
+    Starts and positions go through one sorted window per key.
+    """
+    cols = positions.columns
+    p = positions.select("*", F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("_end"), F.lit(1).alias("_side"), F.col(position).cast("bigint").alias("_at"))
+    s = segments.select(*[F.col(c) if c in keys else F.lit(None).cast(positions.schema[c].dataType).alias(c) for c in cols], F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("_end"), F.lit(0).alias("_side"), F.col("start").cast("bigint").alias("_at"))
+    w = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    d = p.unionByName(s).select(*cols, "_side", "_at", F.last("start", ignorenulls=True).over(w).alias("_s"), F.last("_end", ignorenulls=True).over(w).alias("_e"))
+    return d.filter("_side = 1").select(*cols, F.when(F.col("_at") < F.col("_e"), F.col("_s")).alias("start"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framewright.operators import quality, selection
 from framewright.operators import sequence as SQ
 from framewright.plans import frames as FP
-from framewright.storage import read_table, shared_dir
+from framewright.storage import read_table, shared_path
 from framewright.streaming import stateful
 
 Q: dict = {}
@@ -140,6 +140,17 @@ def falsy_coalesce(spark, sf):
     return read_table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum(v), 4).alias("total"))
 
 
+@query(f"WITH {_TURN}, h AS (SELECT user_id, turn, list(CAST(floor(value / 20) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS tok FROM tn), l AS (SELECT *, lag(tok) OVER (PARTITION BY user_id ORDER BY turn) AS prev FROM h), p AS (SELECT user_id, CAST(turn AS BIGINT) AS q, len(tok) AS n, CAST(CASE WHEN prev IS NULL OR turn % 10 = 0 THEN 0 ELSE coalesce((SELECT min(k) FROM range(1, least(len(tok), len(prev)) + 1) r(k) WHERE tok[k] <> prev[k]) - 1, least(len(tok), len(prev))) END AS BIGINT) AS hit FROM l) SELECT user_id AS session, q, hit, n - hit AS recomputed FROM p")
+def stream_prefix(spark, sf):
+    """Prefix reuse kept by a stateful stream that resets at every tenth query."""
+    t = _turns(spark, sf)
+    w = Window.partitionBy("user_id").orderBy("turn").rowsBetween(-3, 0)
+    prompts = t.select(F.col("user_id").alias("session"), F.col("turn").cast("bigint").alias("q"), F.collect_list(F.floor(F.col("value") / 20)).over(w).alias("tokens"))
+    at = shared_path(spark, "prompts")
+    prompts.write.parquet(at)
+    return stateful.drain(stateful.prefix_stream(spark.readStream.schema(prompts.schema).parquet(at), reset_every=10))
+
+
 # ---- streaming twins
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -158,9 +169,10 @@ def stream_daily_counts(spark, sf):
 @query(f"WITH {FP._states_sql(4, 6, 2)} SELECT clip, CAST(t AS BIGINT) AS t, CAST(b AS INTEGER) AS b, eff, allowed, CAST(src AS BIGINT) AS src FROM sr")
 def stream_reuse(spark, sf):
     """Reuse states kept by a stateful stream; equal to the window form."""
-    at = f"{shared_dir(spark)}/framewright-blocks-{abs(hash(sf))}-{id(spark)}"
-    FP._blocks(spark, sf).select("clip", "t", "b", "r").write.mode("overwrite").parquet(at)
-    s = spark.readStream.schema("clip int, t bigint, b int, r boolean" if dict(FP._blocks(spark, sf).dtypes)["clip"] == "int" else "clip bigint, t bigint, b int, r boolean").parquet(at)
+    at = shared_path(spark, "blocks")
+    blocks = FP._blocks(spark, sf).select("clip", "t", "b", "r")
+    blocks.write.parquet(at)
+    s = spark.readStream.schema(blocks.schema).parquet(at)
     return stateful.drain(stateful.reuse_stream(s, **FP.POLICY))
 
 

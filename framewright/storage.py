@@ -47,6 +47,13 @@ def _forget() -> None:
 atexit.register(_forget)
 
 
+def shared_path(spark: SparkSession, kind: str = "table") -> str:
+    """A new path in the shared folder, deleted when the program ends."""
+    path = f"{shared_dir(spark)}/framewright-{kind}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and return the scan of it.
 
@@ -54,13 +61,6 @@ def materialize(df: DataFrame) -> DataFrame:
     prune columns and push filters down.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/framewright-{uuid.uuid4().hex}"
+    path = shared_path(spark)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
-
-
-def table_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` in bytes (file sizes for plain scans)."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(stats))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from framewright.storage import shared_dir
+from framewright.storage import shared_path
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -20,7 +19,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     replaces the result in every batch.
     """
     spark = stream.sparkSession
-    at = f"{shared_dir(spark)}/framewright-stream-{uuid.uuid4().hex}"
+    at = shared_path(spark, "stream")
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         q = w.format("parquet").option("path", f"{at}/out").start()
