@@ -45,6 +45,13 @@ def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "pack_specs"))
 
 
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of each size and the share of their space that is used."""
+    used = p7_pack(spark, sf_dir).groupBy("spec_id").agg(F.countDistinct("container_id").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_pieces"))
+    spec = read_table(spark, sf_dir, "pack_specs").select("spec_id", "capacity_tokens")
+    return used.join(spec, "spec_id").select("spec_id", "capacity_tokens", "n_containers", "n_pieces", "n_tokens", (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("fill"))
+
+
 def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language and confidence of every document (segment -1) and paragraph."""
     docs = read_table(spark, sf_dir, "documents")
@@ -124,5 +131,6 @@ QUERIES = {
     "p5_percentiles": p5_percentiles,
     "p5_merged": p5_merged,
     "p7_pack": p7_pack,
+    "p7_fill": p7_fill,
 }
 ORACLES = {"p5_percentiles": _P5}

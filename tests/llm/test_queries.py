@@ -19,3 +19,8 @@ def test_found_has_the_fixed_columns_and_distinct_rows(spark, name):
 def test_truncated_are_the_cut_results(spark):
     cut = {r.result_id for r in queries.p6_found(spark, SF).collect()}
     assert cut == {r.result_id for r in queries.p3_found(spark, SF).collect() if r.defect == "truncated"}
+
+
+def test_containers_are_well_filled(spark):
+    rows = queries.p7_fill(spark, SF).collect()
+    assert len(rows) == 4 and all(0.9 < r.fill <= 1 for r in rows)
