@@ -108,6 +108,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.unionByName(sessions)
 
 
+def p4_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session pairs alone."""
+    return overlap.same_videos(read_table(spark, sf_dir, "session_arms"))
+
+
+_P4 = r"""WITH s AS (SELECT DISTINCT session_key, nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim(video_id)), '^.*[/\\]', ''), '\.[a-z0-9]{2,4}$', ''), '[^\p{L}\p{N}]', '', 'g'), '') AS video, split = 'train' AS train FROM session_arms)
+SELECT DISTINCT least(a.session_key, b.session_key) AS key_a, greatest(a.session_key, b.session_key) AS key_b FROM s a JOIN s b ON a.video = b.video AND a.session_key <> b.session_key WHERE a.train AND NOT b.train"""
+
+
 def p4_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of each split and manifest that also stand in train, and how well they are covered."""
     b = read_table(spark, sf_dir, "bench_items")
@@ -119,6 +128,7 @@ def p4_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p4_found": p4_found,
+    "p4_sessions": p4_sessions,
     "p4_by_split": p4_by_split,
     "p3_found": p3_found,
     "p6_found": p6_found,
@@ -133,4 +143,4 @@ QUERIES = {
     "p7_pack": p7_pack,
     "p7_fill": p7_fill,
 }
-ORACLES = {"p5_percentiles": _P5}
+ORACLES = {"p4_sessions": _P4, "p5_percentiles": _P5}
