@@ -180,10 +180,10 @@ def margins_by_drift(spark, sf):
     return p.groupBy("benchmark").agg(*[F.round(e, 4).alias(n) for n, e in (("mean_drift", F.avg(d)), ("mean_stable", F.avg(s)), ("median_drift", F.median(d)), ("median_all", F.median("m")))])
 
 
-@query("WITH f AS (SELECT label AS clip, vec_id AS pos FROM embeddings WHERE vec_id % 3 = 0) SELECT clip, pos, coalesce(lag(pos) OVER w + 1, pos) AS span_from, pos AS span_to FROM f WINDOW w AS (PARTITION BY clip ORDER BY pos)")
+@query("WITH f AS (SELECT label AS clip, vec_id AS pos FROM embeddings) SELECT clip, pos, coalesce(lag(pos) OVER w + 1, pos) AS span_from, pos AS span_to FROM f WINDOW w AS (PARTITION BY clip ORDER BY pos)")
 def sample_spans(spark, sf):
-    """Spans between the samples of a clip."""
-    f = read_table(spark, sf, "embeddings").filter(F.col("vec_id") % 3 == 0).select(F.col("label").alias("clip"), F.col("vec_id").alias("pos"))
+    """Spans between the samples of a clip, whose numbers have gaps."""
+    f = read_table(spark, sf, "embeddings").select(F.col("label").alias("clip"), F.col("vec_id").alias("pos"))
     return SQ.spans(f, ["clip"], "pos").select("clip", "pos", "span_from", "span_to")
 
 

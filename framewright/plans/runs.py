@@ -471,14 +471,19 @@ def skyline_3d(spark, sf):
     return FR.skyline_3d(p, "p_size", "p_retailprice", "len").select("p_partkey")
 
 
-_CURVE = "cv AS (SELECT p_brand AS brand, p_size AS size, max(p_retailprice) AS price FROM part WHERE p_size % 5 = 0 GROUP BY ALL)"
+_CURVE = "cv AS (SELECT p_brand AS brand, p_size // 5 * 5 + 2 AS size, max(p_retailprice) AS price FROM part GROUP BY ALL)"
+
+
+def _curve(spark, sf) -> DataFrame:
+    """The best price of a brand per budget."""
+    return read_table(spark, sf, "part").groupBy("p_brand", (F.floor(F.col("p_size") / 5) * 5 + 2).cast("int").alias("p_size")).agg(F.max("p_retailprice").alias("p_retailprice"))
 
 
 @query(f"WITH {_CURVE} SELECT p_partkey, coalesce((SELECT arg_max(price, size) FROM cv WHERE brand = p_brand AND size <= p_size), (SELECT arg_min(price, size) FROM cv WHERE brand = p_brand)) AS dense_price FROM part")
 def dense_at_budget(spark, sf):
     """The curve point at or below a budget, else the lowest one."""
     p = read_table(spark, sf, "part").select("p_partkey", "p_brand", "p_size")
-    curve = read_table(spark, sf, "part").filter("p_size % 5 = 0").groupBy("p_brand", F.col("p_size").alias("size")).agg(F.max("p_retailprice").alias("dense_price"))
+    curve = _curve(spark, sf).select("p_brand", F.col("p_size").alias("size"), F.col("p_retailprice").alias("dense_price"))
     return P.as_of_floor(p, curve, "p_size", "size", "dense_price", ["p_brand"]).select("p_partkey", "dense_price")
 
 
@@ -486,8 +491,7 @@ def dense_at_budget(spark, sf):
 def pareto_vs_dense(spark, sf):
     """The first curve point that a part dominates."""
     p = read_table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
-    curve = read_table(spark, sf, "part").filter("p_size % 5 = 0").groupBy("p_brand", "p_size").agg(F.max("p_retailprice").alias("p_retailprice"))
-    return FR.dominated_by(p, curve, ["p_brand"], "p_retailprice", "p_size", "p_size").select("p_partkey", "winner")
+    return FR.dominated_by(p, _curve(spark, sf), ["p_brand"], "p_retailprice", "p_size", "p_size").select("p_partkey", "winner")
 
 
 @query("WITH h AS (SELECT p_brand, p_partkey, p_retailprice - avg(p_retailprice) OVER (PARTITION BY p_brand) AS headroom FROM part) SELECT p_brand, p_partkey, round(headroom, 4) AS headroom FROM h QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY round(headroom, 6) DESC, p_partkey) <= 3")

@@ -78,11 +78,10 @@ def greedy_spacing(spark, sf):
     return selection.greedy_spacing(_events(spark, sf), ["user_id"], "s", 21600.0, anchors=(0.25, 0.5, 0.75), anchor_gap=1.0)
 
 
-@query(f"WITH {_TURN}, p AS (SELECT user_id, event_id AS point, s AS at FROM tn WHERE turn % 20 = 0) SELECT p.user_id, p.point, count(*) AS n, round(avg(value), 6) AS mean FROM p JOIN ev e ON p.user_id = e.user_id AND e.s <= p.at AND e.s > p.at - 86400 GROUP BY p.user_id, p.point")
+@query(f"WITH {_TURN}, p AS (SELECT user_id, event_id AS point, s AS at FROM tn) SELECT p.user_id, p.point, count(*) AS n, round(avg(value), 6) AS mean FROM p JOIN ev e ON p.user_id = e.user_id AND e.s <= p.at AND e.s > p.at - 86400 GROUP BY p.user_id, p.point")
 def event_windows(spark, sf):
-    """Events of the day before every twentieth event of a user."""
-    t = _turns(spark, sf)
-    p = t.filter(F.col("turn") % 20 == 0).select("user_id", F.col("event_id").alias("point"), F.col("s").alias("at"))
+    """Events of the day up to each event of a user."""
+    p = _events(spark, sf).select("user_id", F.col("event_id").alias("point"), F.col("s").alias("at"))
     j = SQ.window_join(_events(spark, sf).select("user_id", "value", "s"), p, ["user_id"], "s", "at", 86400.0)
     return j.groupBy("user_id", "point").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
