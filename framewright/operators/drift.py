@@ -205,7 +205,7 @@ def _norm(value: Column) -> Column:
     return F.when(bare == "yes", "true").when(bare == "no", "false").otherwise(bare)
 
 
-def drift_report(leaves_df: DataFrame, sequence: DataFrame, keys: Sequence[str], same: float = 0.6, noise: float = 0.1) -> DataFrame:
+def drift_report(leaves_df: DataFrame, sequence: DataFrame, keys: Sequence[str], same: float = 0.75, noise: float = 0.1) -> DataFrame:
     """Changes of every file against the one before it.
 
     ``leaves_df``: ``path``, the ``keys`` and ``field, type, value`` of each leaf;

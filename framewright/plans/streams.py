@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewright.operators import quality, selection
@@ -25,10 +25,17 @@ def query(sql: str | None = None):
     return add
 
 
+_EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
+def micros(ts: str) -> Column:
+    """Microseconds of a zone-less time stamp, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, {ts})")
+
+
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     """``user_id, event_id, event_type, value, s``: seconds of the time stamp."""
-    s = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    return read_table(spark, sf, "events").select("user_id", "event_id", "event_type", "value", "props", s.alias("s"))
+    return read_table(spark, sf, "events").select("user_id", "event_id", "event_type", "value", "props", (micros("ts") / 1e6).alias("s"))
 
 
 _EV = "ev AS (SELECT user_id, event_id, event_type, value, props, epoch_us(ts) / 1000000.0 AS s FROM events)"
@@ -160,9 +167,10 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_daily_counts(spark, sf):
     """Event-time windows of a stream, drained to the end."""
-    s = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    s = _stream(spark, sf, "events").withColumn("ts", F.timestamp_micros(micros("ts")))
     out = stateful.drain(stateful.windowed_counts(s, "ts", "event_type", "value", "1 day"), "complete")
-    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    start = F.expr(f"timestampadd(MICROSECOND, unix_micros(start), {_EPOCH})")
+    return out.select(start.alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query(f"WITH {FP._states_sql(4, 6, 2)} SELECT clip, CAST(t AS BIGINT) AS t, CAST(b AS INTEGER) AS b, eff, allowed, CAST(src AS BIGINT) AS src FROM sr")

@@ -114,7 +114,7 @@ def turn_prompts(spark, sf):
 def policy_frames(spark, sf):
     """Time stamps that a polling policy looks at before an event, and a stamp as a frame number."""
     e = read_table(spark, sf, "events")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = SP.micros("ts")
     s = F.floor(us / 1e6).cast("bigint")
     return e.select("event_id", s.alias("s"), F.array_join(F.transform(F.sequence(s - 240, s, F.lit(60).cast("bigint")), lambda x: x.cast("string")), ",").alias("polling"), F.bround((us % 10000000) / 1000000.0 * 2.5).cast("bigint").alias("frame"))
 
