@@ -27,7 +27,7 @@ def p1_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All records as one table: the fields that any file has, renamed ones under one name.
 
     The names that renames connect form one column under the name most files
-    use; its type is that of most values.  The list of names is schema-sized and
+    use, dots written as ``__``; its type is that of most values.  The list of names is schema-sized and
     is resolved on the driver, as any column list is.  A line delivered twice
     counts once.
     """
@@ -60,7 +60,10 @@ def p1_table(spark: SparkSession, sf_dir: str) -> DataFrame:
             for t, n in kinds[f].items():
                 if t != "null":
                     total[t] = total.get(t, 0) + n
-        approved[names[0]] = (max(sorted(total, key=drift.TYPES.index), key=total.get) if total else "string", names)
+        # a dot would be read as a path into a struct
+        column = names[0].replace(".", "__")
+        column = names[0] if column in approved else column
+        approved[column] = (max(sorted(total, key=drift.TYPES.index), key=total.get) if total else "string", names)
     once = ingested.dropDuplicates(["path", "line_no", *KEYS, drift.RESCUED])
     return drift.promote(once, dict(sorted(approved.items())))
 

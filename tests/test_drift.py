@@ -66,3 +66,24 @@ def test_type_without_values_is_the_last_one(spark):
 def test_empty_tables(spark):
     assert report(spark, [], []) == set()
     assert report(spark, [("a", 1, rec(1, k=1))], []) == set()
+
+
+def test_consistent_table_loses_no_value(spark):
+    from framewright.plans import general
+
+    sf = "/root/testdata/sf0.001"
+    table = general.p1_table(spark, sf)
+    assert not any("." in c for c in table.columns)
+    got = 0
+    for r in table.collect():
+        rest = json.loads(r._rescued)
+        got += sum(r[c] is not None for c in table.columns if c not in ("path", "line_no", "item_id", "q_index", "_rescued"))
+        got += sum(v is not None for v in rest.values())
+    seen, want = set(), 0
+    for p, n, text in spark.read.parquet(f"{sf}/raw_records.parquet").select("path", "line_no", "payload").collect():
+        o = drift.parse_object(text)
+        if o is None or (p, n, text) in seen:
+            continue
+        seen.add((p, n, text))
+        want += sum(v is not None for k, v in drift.leaves(o) if k not in ("item_id", "q_index"))
+    assert got == want
