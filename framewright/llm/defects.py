@@ -93,21 +93,17 @@ def judge(text: str | None) -> tuple[str, str | None]:
     return "other", language(bare)
 
 
-def copies_question(text: str, questions: Sequence[str], options: Sequence[str]) -> bool:
-    """Whether a text repeats a question and, its options and a lead aside, says nothing else."""
-    ws = winnow.words(text)
-    if len(ws) < 4:
+def copies_question(text: str, question: str, options: Sequence[str]) -> bool:
+    """Whether a text repeats the question and, its options and a lead aside, says nothing else."""
+    ws, qw = winnow.words(text), winnow.words(question)
+    if len(ws) < 4 or len(qw) < 4:
+        return False
+    asked = set(qw)
+    if len(asked.intersection(ws)) < 0.75 * len(asked):
         return False
     extra = _PROMPT | {w for o in options for w in winnow.words(o)}
-    for q in questions:
-        qw = winnow.words(q)
-        s = set(qw)
-        if len(qw) < 4 or sum(w in ws for w in s) < 0.75 * len(s):
-            continue
-        new = [w for w in ws if w not in s and w not in extra]
-        if len(new) <= max(1, 0.12 * len(ws)):
-            return True
-    return False
+    new = [w for w in ws if w not in asked and w not in extra]
+    return len(new) <= max(1, 0.12 * len(ws))
 
 
 def shortened(a: str, b: str) -> bool:
@@ -171,7 +167,8 @@ def find_defects(results: DataFrame, items: DataFrame) -> DataFrame:
     """``result_id, defect``, distinct, of results without a proper answer.
 
     ``results``: ``result_id, source, item_id, text, generation_tokens``;
-    ``items``: ``item_id, question, candidates``, any number of rows per item.
+    ``items``: ``item_id, question, candidates``, any number of rows per item;
+    the item's language is that of most of its wordings (ties: the last in order).
     A result of an unknown or null item has no question: only truncation,
     emptiness and refusal are judged.  Rows with a null ``result_id`` are judged
     and reported with null.  Empty tables give no rows.
@@ -195,30 +192,30 @@ def find_defects(results: DataFrame, items: DataFrame) -> DataFrame:
     seen = materialize(seen.filter("kind <> 'letter' OR lang IS NOT NULL"))
 
     salt = F.pmod(F.xxhash64("result_id", F.lit(5)), F.lit(SALTS)).cast("int")
-    per_item = items.filter("item_id IS NOT NULL").groupBy("item_id").agg(F.collect_set("question").alias("questions"), F.flatten(F.collect_set("candidates")).alias("options"))
+    # every wording of an item stays a row: an item of any number of records is never gathered
+    wordings = items.filter("item_id IS NOT NULL").select("item_id", "question", "candidates").distinct()
 
-    def of_item(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_wording(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang = []
-            for qs in b.column("questions").to_pylist():
-                votes = [x for x in map(language, qs) if x]
-                lang.append(max(sorted(set(votes)), key=votes.count) if votes else None)
-            yield pa.RecordBatch.from_arrays([b.column("item_id"), b.column("questions"), b.column("options"), pa.array(lang, pa.string())], names=["item_id", "questions", "options", "q_lang"])
+            lang = [language(q) if q else None for q in b.column("question").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("item_id"), b.column("question"), b.column("candidates"), pa.array(lang, pa.string())], names=["item_id", "question", "candidates", "q_lang"])
 
-    known = materialize(per_item.mapInArrow(of_item, "item_id string, questions array<string>, options array<string>, q_lang string"))
+    known = materialize(wordings.mapInArrow(of_wording, "item_id string, question string, candidates array<string>, q_lang string"))
+    votes = known.filter("q_lang IS NOT NULL").groupBy("item_id", "q_lang").agg(F.count("*").alias("n"))
+    voted = votes.groupBy("item_id").agg(F.max(F.struct("n", "q_lang"))["q_lang"].alias("q_lang"))
     spread = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")
-    lang_of = known.select("item_id", "q_lang", spread)
+    lang_of = voted.select("item_id", "q_lang", spread)
     other = seen.filter("lang IS NOT NULL").select("result_id", "item_id", "lang", salt.alias("salt")).join(lang_of, ["item_id", "salt"]).filter("lang <> q_lang").select("result_id", F.lit(5).alias("rank"))
-    asked = known.select("item_id", "questions", "options", spread)
+    asked = known.filter("question IS NOT NULL").select("item_id", "question", "candidates", spread)
     unanswered = seen.filter("kind = 'other'").select("result_id", "item_id", "text", salt.alias("salt")).join(asked, ["item_id", "salt"])
 
     def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("text", "questions", "options")]
-            at = [i for i, (t, q, o) in enumerate(zip(*cols)) if copies_question(t, q, [x for x in o if x])]
+            cols = [b.column(c).to_pylist() for c in ("text", "question", "candidates")]
+            at = [i for i, (t, q, o) in enumerate(zip(*cols)) if copies_question(t, q, [x for x in o or () if x])]
             yield pa.RecordBatch.from_arrays([b.column("result_id").take(pa.array(at, pa.int32()))], names=["result_id"])
 
-    copies = unanswered.select("result_id", "text", "questions", "options").mapInArrow(copied, f"result_id {id_type}").select("result_id", F.lit(4).alias("rank"))
+    copies = unanswered.select("result_id", "text", "question", "candidates").mapInArrow(copied, f"result_id {id_type}").select("result_id", F.lit(4).alias("rank"))
     alone = seen.filter("kind IN ('empty', 'refusal')").select("result_id", F.when(F.col("kind") == "empty", 2).otherwise(3).alias("rank"))
     ranks = cut.select("result_id", F.lit(1).alias("rank")).unionByName(alone).unionByName(copies).unionByName(other)
     names = F.array(*[F.lit(n) for n in ("truncated", "empty", "refusal", "copied_question", "other_language")])
