@@ -169,6 +169,23 @@ def test_frames_shared_by_many_are_refined(spark, monkeypatch):
     assert {(2 * i, 2 * i + 1) for i in range(40)} <= got
 
 
+def test_light_variants_of_one_item_all_meet(spark):
+    def typo(text):
+        ws = text.split()
+        i = R.choice([i for i, w in enumerate(ws) if len(w) > 4])
+        k = R.randrange(len(ws[i]))
+        ws[i] = ws[i][:k] + R.choice("bcdfghjklm") + ws[i][k:]
+        return " ".join(ws)
+
+    q = "After the florist throws the canvas guitar against the rooftop near the harbour, which way does the padded helmet turn next?"
+    o = ["Only the little wooden rudder turns clockwise again", "Towards the crimson sail beside the narrow hallway", "Behind another carpenter holding that broken mirror"]
+    rows = [(i, "train" if i % 2 else "dev", typo(q), [typo(x) for x in o]) for i in range(64)]
+    rows += [(100 + i, "train" if i % 2 else "dev", f"Who of these people moves the {NOUNS[i]} at the beginning of the second part?", None) for i in range(60)]
+    d = spark.createDataFrame(rows, "record_id bigint, split string, question string, candidates array<string>")
+    got = {(r.key_a, r.key_b) for r in overlap.same_items(d).collect()}
+    assert got == {(a, b) for lo, n in ((0, 64), (100, 60)) for a in range(lo, lo + n) for b in range(a + 1, lo + n) if (a - b) % 2}
+
+
 # ---- language
 
 TEXT = {
