@@ -52,6 +52,8 @@ CLOSES, CLOSES_SHARE = 2, 2e-6
 MARKS = "…\\�"
 SIMILAR, SHINGLE = 0.8, 5
 ROWS, BANDS = 4, 8
+#: Texts of a bucket in one block of the join.
+BLOCK = 1000
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,]\d+)*|[.!?…]+|[,;:]|\n|\x00|[“”«»\"]|[-–—]$")
 _QUOTES = set("\n“”«»\"")
@@ -302,13 +304,13 @@ def limits(scored: DataFrame) -> DataFrame:
     return j.filter(piled & (F.col("whole") > 2 * F.greatest(F.lit(1.0), F.col("whole_around")))).select("source", "measure", "value")
 
 
-def _signatures(texts: Sequence[str], hasher: winnow.Hasher, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of the texts with enough words, their word counts, and min-hashes (texts x permutations)."""
+def _signatures(texts: Sequence[str], hasher: winnow.Hasher, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the texts with enough words, their word counts, distinct shingles, and min-hashes (texts x permutations)."""
     words = [winnow.words(t) for t in texts]
-    at = np.array([i for i, w in enumerate(words) if len(w) >= 2 * SHINGLE], np.int64)
+    at = np.array([i for i, w in enumerate(words) if len(w) >= SHINGLE], np.int64)
     n = np.array([len(words[i]) for i in at], np.int64)
     if not len(at):
-        return at, n, np.zeros((0, len(a)), np.uint64)
+        return at, n, n, np.zeros((0, len(a)), np.uint64)
     flat = np.fromiter((hasher[w] for i in at for w in words[i]), np.uint64, int(n.sum()))
     g = winnow.kgram_hashes(flat, SHINGLE)
     # shingles that reach into the next text are those of no text: they take another's place
@@ -317,17 +319,22 @@ def _signatures(texts: Sequence[str], hasher: winnow.Hasher, a: np.ndarray, b: n
     last = np.repeat(start + n - SHINGLE, n)[: len(g)]
     g = g[np.minimum(own, last)]
     start = np.minimum(start, len(g) - 1)
-    return at, n, np.stack([np.minimum.reduceat(g * x + y, start) for x, y in zip(a, b)], axis=1)
+    owner = np.repeat(np.arange(len(n)), n)[: len(g)]
+    by = np.lexsort((g, owner))
+    new = np.concatenate([[True], (np.diff(owner[by]) != 0) | (g[by][1:] != g[by][:-1])])
+    shingles = np.bincount(owner[by][new], minlength=len(n))
+    return at, n, shingles, np.stack([np.minimum.reduceat(g * x + y, start) for x, y in zip(a, b)], axis=1)
 
 
 def near_copies(texts: DataFrame) -> DataFrame:
     """Texts of which a longer near copy goes on where they end.
 
     ``texts``: distinct rows ``t``, ``open`` (no sentence end).  Shingles of
-    ``SHINGLE`` words, min-hash in ``BANDS`` bands of ``ROWS``.  In each bucket a
-    text is paired with the longest one only, by an aggregate, so a bucket of any
-    size costs one row per text.  Pairs are verified (Jaccard similarity of
-    ``SIMILAR``, alignment up to the end of the shorter).  Returns ``t``.
+    ``SHINGLE`` words, min-hash in ``BANDS`` bands of ``ROWS``.  In each bucket an
+    open text is paired with every other of at least its words whose number of
+    distinct shingles lets ``SIMILAR`` be reached; the open texts of a large bucket come in blocks.
+    Pairs are verified (Jaccard similarity of ``SIMILAR``, alignment up to the end
+    of the shorter).  Returns ``t``.
     """
     rng = np.random.default_rng(11)
     a = rng.integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
@@ -338,19 +345,22 @@ def near_copies(texts: DataFrame) -> DataFrame:
         for b in batches:
             first = 0
             for ts in _chunks([t or "" for t in b.column("t").to_pylist()]):
-                at, n, sig = _signatures(ts, h, a, b0)
+                at, n, shingles, sig = _signatures(ts, h, a, b0)
                 k = np.zeros((len(at), BANDS), np.uint64)
                 for c in range(ROWS):
                     k = (k ^ sig[:, c::ROWS]) * _B
                 k ^= np.arange(BANDS, dtype=np.uint64)
                 take = pa.array(np.repeat(at + first, BANDS))
                 first += len(ts)
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel().astype(np.int64)), b.column("id").take(take), b.column("open").take(take), pa.array(np.repeat(n, BANDS).astype(np.int32))], names=["key", "id", "open", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel().astype(np.int64)), b.column("id").take(take), b.column("open").take(take), *(pa.array(np.repeat(x, BANDS).astype(np.int32)) for x in (n, shingles))], names=["key", "id", "open", "n", "shingles"])
 
     texts = texts.select(F.xxhash64("t").alias("id"), "t", "open")
-    bands = materialize(texts.mapInArrow(run, "key bigint, id bigint, open boolean, n int"))
-    longest = bands.groupBy("key").agg(F.max(F.struct("n", "id")).alias("top"), F.max("open").alias("any_open")).filter("any_open").select("key", "top")
-    pairs = bands.filter("open").join(longest, "key").filter("top.n > n").select("id", F.col("top.id").alias("longer")).distinct()
+    bands = materialize(texts.mapInArrow(run, "key bigint, id bigint, open boolean, n int, shingles int"))
+    sizes = bands.groupBy("key").agg(F.count("*").alias("size"), F.count_if("open").alias("opens")).filter("opens > 0 AND size > 1").select("key", (F.floor(F.col("opens") / BLOCK).cast("int") + 1).alias("blocks"))
+    dealt = bands.join(sizes, "key")
+    a_side = dealt.filter("open").select("key", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "id", "n", F.col("shingles").alias("s"))
+    b_side = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("longer"), F.col("n").alias("m"), "shingles")
+    pairs = a_side.join(b_side, ["key", "block"]).filter((F.col("m") >= F.col("n")) & (F.col("id") != F.col("longer")) & (F.least("s", "shingles") >= SIMILAR * F.greatest("s", "shingles"))).select("id", "longer").distinct()
     short = texts.filter("open").select("id", F.col("t").alias("a"))
     both = pairs.join(short, "id").join(texts.select(F.col("id").alias("longer"), F.col("t").alias("b")), "longer").select("id", "a", "b")
 

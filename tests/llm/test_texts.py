@@ -116,6 +116,20 @@ def test_copies_that_end_early(spark):
     assert defects.neighbour_copies(t.limit(0)).count() == 0
 
 
+def test_cut_copies_in_crowded_buckets(spark):
+    rows, cut = [], set()
+    for g in range(4):
+        words = [f"{noun()}{g}x{i}" for i in range(45)]
+        base = " ".join(words)
+        rows += [(base + " and goes on", False), (base, True)] + [(f"{base} " + " ".join(noun() for _ in range(20)) + f" {i}.", False) for i in range(300)]
+        cut.add(base)
+    word = " ".join(f"{noun()}{i}" for i in range(40)) + " wagon"
+    rows += [(word, False), (word[:-2], True)]  # as many words
+    cut.add(word[:-2])
+    t = spark.createDataFrame(rows, "t string, open boolean")
+    assert {r.t for r in truncation.near_copies(t).collect()} >= cut
+
+
 def test_neighbours_across_ranges(spark):
     long = [f"{a} {sentence()} and goes on" for a in NOUNS for _ in range(3)]
     short = [x[:-6] for x in long[::4]]
