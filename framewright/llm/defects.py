@@ -39,13 +39,14 @@ for _lang, _ws in FUNCTION_WORDS.items():
 
 #: Marks of a chat format, which are no content.
 _SPECIAL = re.compile(r"<\|?[\w/ -]{1,30}\|?>")
-#: An option letter that is given as the answer.
-_LETTER = re.compile(
-    r"^[\W_]*(?:option|answer|antwort|réponse|respuesta)?[\s:]*[A-Ea-e](?:[).:\]*—–-]|\s*[—–-]\s|[\W_]*$)"
-    r"|\b(?:answer|option|pick|choose|choice|letter|antwort|wähle|réponse|choisis|respuesta|elijo|opción)\b\W*(?:\w+\W+){0,3}?[A-E]\b"
-    r"|\b(?:so|also|donc|así que)\s+[A-E]\b",
-    re.IGNORECASE,
+_NAMED = (
+    r"(?:\b(?i:answer|option|pick|choose|choice|letter|antwort|wähle|réponse|choisis|respuesta|elijo|opción)\b[^\w.!?]*(?:\w+[^\w.!?]+){0,3}?"
+    r"|\b(?i:so|also|donc|así que)\s+)"
 )
+#: An option letter that is given as the answer: at the beginning, or named in a sentence.
+_LETTER = re.compile(r"^[\W_]*(?i:option|answer|antwort|réponse|respuesta)?[\s:]*[A-Ea-e](?:[).:\]*—–-]|\s*[—–-]\s|[\W_]*$)" rf"|{_NAMED}(?:[B-E]\b|A\b(?!\s+[^\W\d_A-Z]))")
+#: Before a lower-case word, A may be the article: it counts as an option where nothing is declined.
+_ARTICLE = re.compile(_NAMED + r"A\b")
 #: Ways to decline, in the languages of the questions.
 _REFUSAL = re.compile(
     r"\b(?:sorry|apolog\w+|unfortunately|declin\w+|unable to|not able to|cannot|can['’]t|won['’]t|will not|not possible|without access|as an? (?:ai|assistant|language model)"
@@ -90,6 +91,8 @@ def judge(text: str | None) -> tuple[str, str | None]:
         return "refusal", None
     if _REFUSAL.search(bare) and re.search(r"[.;!]\s", bare):
         return "refusal", None
+    if _ARTICLE.search(bare):
+        return "letter", language(_ARTICLE.sub(" ", bare, count=1))
     return "other", language(bare)
 
 

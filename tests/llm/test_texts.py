@@ -155,6 +155,13 @@ def test_defect_rules(spark):
     assert {r.defect for r in defects.find_defects(d, items.limit(0)).collect()} == {"empty", "refusal"}
 
 
+def test_refusals_that_speak_of_options():
+    for t in ("I am unable to determine which option is correct. A longer excerpt would be needed.", "The frames do not give me enough to pick an option. A longer excerpt might.", "It is not possible for me to answer that. A longer excerpt would help.", "Sorry, I cannot answer with a single letter."):
+        assert defects.judge(t)[0] == "refusal", t
+    for t in ("I cannot see the end, but I pick B because of the shadow.", "The answer is (C).", "I choose A because it turns left.", "answer: b", "So D, unfortunately."):
+        assert defects.judge(t)[0] == "letter", t
+
+
 # ---- overlap of splits
 
 def test_items_and_sessions(spark):
