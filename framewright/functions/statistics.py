@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,22 +120,48 @@ def bootstrap(df: DataFrame, keys: Sequence[str], cluster: str, value: str, repl
 
     Clusters are drawn by Poisson(1) weights from a hash of (seed, replicate,
     cluster): the distributed form of drawing with replacement, with no draw
-    table and one row per cluster and replicate.  The index rule is
+    table.  A partition adds its clusters up per group and replicate in arrays, so
+    it sends one row per group and replicate.  The index rule is
     ``int(p * (replicates - 1))``.
     """
     c = df.filter(F.col(value).isNotNull()).groupBy(*keys, cluster).agg(F.sum(F.col(value).cast("double")).alias("_s"), F.count("*").alias("_c"))
-    rep = c.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "_r", *keys, cluster), F.lit(1 << 40)) / float(1 << 40)
     # inverse of the Poisson distribution, cut where 1e-8 of it is left
-    weight, cum, term = F.lit(0), 0.0, 0.36787944117144233
+    steps, term = [], 0.36787944117144233
     for k in range(1, 12):
-        cum += term
+        steps.append((steps[-1] if steps else 0.0) + term)
         term /= k
-        weight = weight + F.when(u >= cum, 1).otherwise(0)
-    sums = rep.withColumn("_w", weight).groupBy(*keys, "_r").agg((F.sum(F.col("_w") * F.col("_s")) / F.nullif(F.sum(F.col("_w") * F.col("_c")), F.lit(0))).alias("_m"))
-    ci = index_percentile(sums, keys, "_m", {"low": low, "high": high}) if keys else index_percentile(sums.withColumn("_g", F.lit(0)), ["_g"], "_m", {"low": low, "high": high}).drop("_g")
-    point = c.groupBy(*keys).agg((F.sum("_s") / F.sum("_c")).alias("mean"))
-    return point.join(ci, list(keys)) if keys else point.crossJoin(ci)
+    cum = np.array(steps)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # one hash of (replicate, seed) mixed with that of the cluster: splitmix64
+        def mix(x: np.ndarray) -> np.ndarray:
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            return x ^ (x >> np.uint64(31))
+
+        draw = mix((np.arange(1, replicates + 1, dtype=np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15))
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            g, h = b.column("_g").to_numpy(), b.column("_h").to_numpy().astype(np.uint64)
+            both = np.stack([b.column(n).to_numpy().astype(float) for n in ("_s", "_c")])
+            for k in np.unique(g):
+                at = np.flatnonzero(g == k)
+                acc = total.setdefault(int(k), np.zeros((2, replicates)))
+                for x in range(0, len(at), 256):
+                    part = at[x : x + 256]
+                    u = (mix(h[part][:, None] ^ draw[None, :]) >> np.uint64(11)) / float(1 << 53)
+                    acc += both[:, part] @ np.searchsorted(cum, u, side="right").astype(float)
+        for k, (x, n) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(replicates, k), pa.int64()), pa.array(np.arange(1, replicates + 1), pa.int32()), pa.array(x), pa.array(n)], names=["_g", "_r", "_x", "_n"])
+
+    # the groups go as hashes; their keys come back from the table of groups
+    group = F.xxhash64(*[F.col(k) for k in keys], F.lit(0))
+    c = c.withColumn("_g", group)
+    parts = c.select("_g", F.xxhash64(F.lit(seed), *keys, cluster).alias("_h"), "_s", F.col("_c").cast("double").alias("_c")).mapInArrow(run, "_g bigint, _r int, _x double, _n double")
+    sums = parts.groupBy("_g", "_r").agg((F.sum("_x") / F.nullif(F.sum("_n"), F.lit(0.0))).alias("_m"))
+    ci = index_percentile(sums, ["_g"], "_m", {"low": low, "high": high})
+    point = c.groupBy("_g", *keys).agg((F.sum("_s") / F.sum("_c")).alias("mean"))
+    return point.join(ci, "_g").drop("_g")
 
 
 def softmax_entropy(logits: Column, floor: float = 1e-12) -> Column:

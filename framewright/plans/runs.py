@@ -157,7 +157,7 @@ def wilson_by_group(spark, sf):
 @query()
 def bootstrap_accuracy(spark, sf):
     """Clustered bootstrap interval of accuracy per arm and benchmark."""
-    return S.bootstrap(_results(spark, sf), ["arm", "benchmark"], "item_id", "correct", 200)
+    return S.bootstrap(_results(spark, sf), ["arm", "benchmark"], "item_id", "correct", 10_000)
 
 
 @query(f"WITH {_ONCE} SELECT source, count(DISTINCT item_id) AS items, count(*) AS n, round(sum(end_to_end_ms) / sum(generation_tokens), 4) AS x FROM once WHERE end_to_end_ms IS NOT NULL AND generation_tokens > 0 GROUP BY source")

@@ -67,6 +67,20 @@ def test_logistic_fit_separates(spark):
     assert S.logistic_fit(d.limit(0), ["a"], "y") == [0.0, 0.0]
 
 
+def test_bootstrap_query_has_the_replicates_of_the_reference(spark, monkeypatch):
+    from framewright.plans import runs
+
+    d = spark.createDataFrame([("a", "x", f"i{i}", i % 4 == 0) for i in range(400)] + [("b", None, "i", True)], "arm string, benchmark string, item_id string, correct boolean")
+    asked = []
+    real = S.bootstrap
+    monkeypatch.setattr(runs, "_results", lambda *_: d)
+    monkeypatch.setattr(S, "bootstrap", lambda *a, **k: asked.append(a[4]) or real(*a, **k))
+    got = {r.arm: r for r in runs.bootstrap_accuracy(spark, "").collect()}
+    half = 1.96 * math.sqrt(0.25 * 0.75 / 400)
+    assert asked == [10_000] and got["b"].low == got["b"].high == 1.0 and got["b"].benchmark is None
+    assert abs(got["a"].mean - 0.25) < 1e-12 and abs(got["a"].low - 0.25 + half) < 0.004 and abs(got["a"].high - 0.25 - half) < 0.004
+
+
 def test_as_of_floor_against_brute_force(spark):
     curve = {(g, k): R.random() for g in "ab" for k in R.sample(range(20), 6)}
     left = [(i, R.choice("abc"), R.randint(-3, 25)) for i in range(60)]
