@@ -10,7 +10,7 @@ from framewright.functions import statistics as S
 from framewright.operators import frontier as FR
 from framewright.operators import pairing as P
 from framewright.operators import selection as L
-from framewright.storage import read_table
+from framewright.storage import materialize, read_table
 
 Q: dict = {}
 O: dict = {}
@@ -229,7 +229,8 @@ def logistic_drift(spark, sf):
     r = _results(spark, sf).filter("correct IS NOT NULL AND generate_ms IS NOT NULL AND prompt_tokens IS NOT NULL").select("result_id", "correct", F.ln(F.col("generate_ms") + 1).alias("u"), F.col("prompt_tokens").cast("double").alias("v"))
     m = r.agg(F.avg("u").alias("mu"), F.stddev_pop("u").alias("su"), F.avg("v").alias("mv"), F.stddev_pop("v").alias("sv"))
     x = r.crossJoin(F.broadcast(m)).select("result_id", "correct", ((F.col("u") - F.col("mu")) / F.greatest("su", F.lit(1e-8))).alias("x1"), ((F.col("v") - F.col("mv")) / F.greatest("sv", F.lit(1e-8))).alias("x2"))  # one row
-    w = S.logistic_fit(x, ["x1", "x2"], "correct", steps=12)
+    x = materialize(x)  # read by every pass
+    w = S.logistic_optimum(x, ["x1", "x2"], "correct")
     return x.select("result_id", F.round(S.logistic_score(["x1", "x2"], w), 6).alias("p"))
 
 

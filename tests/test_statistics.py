@@ -67,6 +67,24 @@ def test_logistic_fit_separates(spark):
     assert S.logistic_fit(d.limit(0), ["a"], "y") == [0.0, 0.0]
 
 
+def test_logistic_query_is_at_the_optimum(spark, monkeypatch):
+    import numpy as np
+
+    from framewright.plans import runs
+
+    raw = [(i, R.random() < 0.2 + 0.6 * (i % 7 > 3), R.uniform(10, 5000) * (1 + i % 7), R.randint(100, 900)) for i in range(300)]
+    d = spark.createDataFrame(raw, "result_id int, correct boolean, generate_ms double, prompt_tokens int")
+    monkeypatch.setattr(runs, "_results", lambda *_: d)
+    got = {r.result_id: r.p for r in runs.logistic_drift(spark, "").collect()}
+    f = np.array([(math.log(m + 1), t) for _, _, m, t in raw])
+    x = np.concatenate([np.ones((300, 1)), (f - f.mean(axis=0)) / f.std(axis=0)], axis=1)
+    y, w = np.array([float(c) for _, c, _, _ in raw]), np.zeros(3)
+    for _ in range(5000):  # the reference's rate and l2
+        w -= 0.05 * (x.T @ (1 / (1 + np.exp(-x @ w)) - y) / 300 + np.array([0, 0.01, 0.01]) * w)
+    assert max(abs(got[i] - 1 / (1 + math.exp(-x[i] @ w))) for i in range(300)) < 2e-6
+    assert S.logistic_optimum(d.limit(0), ["generate_ms"], "correct") == [0.0, 0.0]
+
+
 def test_bootstrap_query_has_the_replicates_of_the_reference(spark, monkeypatch):
     from framewright.plans import runs
 
