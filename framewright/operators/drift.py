@@ -12,9 +12,11 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import repeat
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.storage import materialize
@@ -92,6 +94,17 @@ def _cast(v, kind: str):
 _ARROW = {"boolean": pa.bool_(), "integer": pa.int64(), "double": pa.float64(), "string": pa.string(), "array": pa.string()}
 
 
+def split_leaves(obj: dict, target: Mapping[str, str]) -> tuple[dict, dict]:
+    """The leaves of an object that the target takes, cast, and those to rescue."""
+    found, rest = {}, {}
+    for name, v in leaves(obj):
+        if name in target and (c := _cast(v, target[name])) is not None:
+            found[name] = c
+        elif name not in target or v is not None:
+            rest[name] = v
+    return found, rest
+
+
 def rescue_ingest(lines: DataFrame, target: Mapping[str, str], payload: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
     """Parse JSON lines into the columns of ``target`` plus ``_rescued``.
 
@@ -116,12 +129,7 @@ def rescue_ingest(lines: DataFrame, target: Mapping[str, str], payload: str = "p
                 if (obj := parse_object(text)) is None:
                     continue
                 at.append(i)
-                rest, found = {}, {}
-                for name, v in leaves(obj):
-                    if name in target and (c := _cast(v, target[name])) is not None:
-                        found[name] = c
-                    elif name not in target or v is not None:
-                        rest[name] = v
+                found, rest = split_leaves(obj, target)
                 for k, _ in fields:
                     rows[k].append(found.get(k))
                 rows[RESCUED].append(json.dumps(rest, ensure_ascii=False))
@@ -132,31 +140,59 @@ def rescue_ingest(lines: DataFrame, target: Mapping[str, str], payload: str = "p
     return kept.mapInArrow(run, ddl)
 
 
-def rescued_leaves(ingested: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """One row per rescued leaf: ``keep`` columns, ``field``, ``type`` and ``value`` (JSON text)."""
-    src = ingested.select(*keep, RESCUED)
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != RESCUED), "`field` string", "`type` string", "`value` string"])
+def _comparable(v) -> str | None:
+    """A leaf's value as text that compares over retyping: a list of one unwrapped, trimmed, lower case, yes as true."""
+    if isinstance(v, list) and len(v) == 1 and not isinstance(v[0], (list, dict)):
+        v = v[0]
+    if v is None:
+        return None
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, str):
+        t = v.strip().lower()
+        return {"yes": "true", "no": "false"}.get(t, t)
+    return json.dumps(v, ensure_ascii=False).lower() if isinstance(v, list) else repr(v)
+
+
+def rescued_leaves(lines: DataFrame, target: Mapping[str, str], payload: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
+    """One row per leaf that ``rescue_ingest`` rescues: ``keep``, the target columns, ``field``, ``type``, ``value``.
 
-    def run(batches):
+    The leaves come from the same parse, so a line is read once.  ``value`` is
+    the leaf as text that compares over retyping, null for null.
+    """
+    if clash := set(keep) & (set(target) | {"field", "type", "value"}):
+        raise ValueError(f"columns clash: {sorted(clash)}")
+    kept = lines.select(*keep, F.col(payload).alias("_payload"))
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_payload"), *(f"`{k}` {SPARK_TYPE[t]}" for k, t in target.items()), "`field` string", "`type` string", "`value` string"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, names, kinds, values = [], [], [], []
-            for i, text in enumerate(b.column(RESCUED).to_pylist()):
-                for k, v in (json.loads(text) if text else {}).items():
-                    at.append(i)
-                    names.append(k)
+            typed = {k: [] for k in target}
+            for i, text in enumerate(b.column("_payload").to_pylist()):
+                if (obj := parse_object(text)) is None:
+                    continue
+                found, rest = split_leaves(obj, target)
+                for k in target:
+                    typed[k] += [found.get(k)] * len(rest)
+                at += [i] * len(rest)
+                for name, v in rest.items():
+                    names.append(name)
                     kinds.append(leaf_type(v))
-                    values.append(None if v is None else json.dumps(v, ensure_ascii=False))
+                    values.append(_comparable(v))
             take = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([*(b.column(n).take(take) for n in keep), pa.array(names, pa.string()), pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=[*keep, "field", "type", "value"])
+            cols = [b.column(n).take(take) for n in keep] + [pa.array(typed[k], _ARROW[t]) for k, t in target.items()]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(names, pa.string()), pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=[*keep, *target, "field", "type", "value"])
 
-    return src.mapInArrow(run, ddl)
+    return kept.mapInArrow(run, ddl)
 
 
-def promote(ingested: DataFrame, approved: Mapping[str, tuple[str, Sequence[str]]]) -> DataFrame:
+def promote(ingested: DataFrame, approved: Mapping[str, tuple[str, Sequence[str] | Mapping[str, Sequence[str]]]], by: str | None = None) -> DataFrame:
     """Replay rescued values into typed columns.
 
     ``approved`` maps a new column to (type, field names it goes by, in order of
-    preference).  A leaf whose value casts leaves ``_rescued``; one that does
+    preference); with ``by``, a string column, to (type, those names for each of
+    its values; a value without names has none).  A leaf whose value casts leaves ``_rescued``; one that does
     not stays there, so promotion never loses a value.
     """
     src = ingested
@@ -164,17 +200,17 @@ def promote(ingested: DataFrame, approved: Mapping[str, tuple[str, Sequence[str]
     if clash := set(approved) & set(src.columns):
         raise ValueError(f"columns exist already: {sorted(clash)}")
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != RESCUED), *(f"`{k}` {SPARK_TYPE[t]}" for k, (t, _) in approved.items()), f"`{RESCUED}` string"])
-    spec = {k: (t, list(n)) for k, (t, n) in approved.items()}
+    spec = {k: (t, n if by else {None: n}) for k, (t, n) in approved.items()}
 
     def run(batches):
         for b in batches:
             out = {k: [] for k in spec}
             left = []
-            for text in b.column(RESCUED).to_pylist():
+            for text, kind in zip(b.column(RESCUED).to_pylist(), b.column(by).to_pylist() if by else repeat(None)):
                 rest = json.loads(text) if text else {}
                 for k, (t, alias) in spec.items():
                     got = None
-                    for a in alias:
+                    for a in alias.get(kind, ()):
                         if a not in rest:
                             continue
                         if rest[a] is None:
@@ -198,18 +234,11 @@ def file_sequence(specs: DataFrame) -> DataFrame:
     return specs.select("label", "path", "file_no", "written_at").dropDuplicates(["path"]).select("label", "path", F.lag("path").over(w).alias("prev_path"), F.row_number().over(w).alias("seq"))
 
 
-def _norm(value: Column) -> Column:
-    """A leaf's JSON text made comparable over retyping: unwrapped, unquoted, lower case."""
-    inner = F.regexp_replace(value, r'^\[\s*([^,\[\]]*)\s*\]$', "$1")
-    bare = F.lower(F.trim(F.regexp_replace(inner, r'^"(.*)"$', "$1")))
-    return F.when(bare == "yes", "true").when(bare == "no", "false").otherwise(bare)
-
-
 def drift_report(leaves_df: DataFrame, sequence: DataFrame, keys: Sequence[str], same: float = 0.75, noise: float = 0.1) -> DataFrame:
     """Changes of every file against the one before it.
 
-    ``leaves_df``: ``path``, the ``keys`` and ``field, type, value`` of each leaf;
-    ``sequence``: see ``file_sequence``.  Returns distinct
+    ``leaves_df``: ``path``, the ``keys`` and ``field, type, value`` of each leaf
+    (a written table: it is read twice); ``sequence``: see ``file_sequence``.  Returns distinct
     ``path, field, change, new_field``.
 
     * A file has a field if any line has it, null or not.  Its type is that of
@@ -228,9 +257,10 @@ def drift_report(leaves_df: DataFrame, sequence: DataFrame, keys: Sequence[str],
     typed = F.when(best > 0, F.coalesce(*[F.when(F.col(t) == best, F.lit(t)) for t in TYPES]))
     profile = profile.select("path", "field", typed.alias("type"))
     seq = sequence.select("label", "path", "prev_path", "seq")
-    has = profile.join(seq, "path")
+    has = profile.join(seq, "path")  # some fields of each file: few rows from here on
     carried = Window.partitionBy("label", "field").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     has = has.withColumn("type", F.last("type", ignorenulls=True).over(carried)).select("label", "path", "seq", "field", "type")
+    has = materialize(has)
 
     now = has.select("path", "field", F.col("type").alias("now_type"))
     before = has.select(F.col("path").alias("prev_path"), "field", F.col("type").alias("prev_type")).join(seq.filter("prev_path IS NOT NULL").select("prev_path", "path"), "prev_path").select("path", "field", "prev_type", F.lit(1).alias("was"))
@@ -245,7 +275,7 @@ def drift_report(leaves_df: DataFrame, sequence: DataFrame, keys: Sequence[str],
     moved = materialize(moved)
     gone = moved.filter("change = 'removed'").join(prev, "path").select(F.col("prev_path").alias("path"), F.col("path").alias("at"), "field", F.lit(0).alias("side"))
     new = moved.filter("change = 'added'").select("path", F.col("path").alias("at"), "field", F.lit(1).alias("side"))
-    vals = leaves_df.filter("value IS NOT NULL").select("path", *keys, "field", _norm(F.col("value")).alias("v"))
+    vals = leaves_df.filter("value IS NOT NULL").select("path", *keys, "field", F.col("value").alias("v"))
     vals = materialize(vals.join(gone.unionByName(new), ["path", "field"]).groupBy("at", *keys, "side", "field").agg(F.min("v").alias("v")))
     old_vals = vals.filter("side = 0").select("at", *keys, "field", F.col("v").alias("old"))
     new_vals = vals.filter("side = 1").select("at", *keys, F.col("field").alias("new_field"), F.col("v").alias("new"))
@@ -257,18 +287,18 @@ def drift_report(leaves_df: DataFrame, sequence: DataFrame, keys: Sequence[str],
         .agg(F.avg(agree.cast("double")).alias("share"), F.count("*").alias("n"))
         .filter(F.col("share") >= same)
     )
-    # best pairs first: a pair counts if it is the best of both its fields, then
-    # the best of what is left, until nothing is left; each round takes at least
-    # the best pair of every file, and the pairs are few beside the lines
-    taken = None
-    left = pairs = materialize(pairs)
-    while not left.isEmpty():
-        order = [F.desc("share"), F.desc("n"), F.asc("field"), F.asc("new_field")]
-        r = left.withColumn("ra", F.row_number().over(Window.partitionBy("at", "field").orderBy(*order))).withColumn("rb", F.row_number().over(Window.partitionBy("at", "new_field").orderBy(*order)))
-        won = r.filter("ra = 1 AND rb = 1").select("at", "field", "new_field")
-        taken = won if taken is None else taken.unionByName(won)
-        left = materialize(left.join(won.select("at", "field"), ["at", "field"], "left_anti").join(won.select("at", "new_field"), ["at", "new_field"], "left_anti"))
-    taken = pairs.select("at", "field", "new_field").limit(0) if taken is None else taken
+
+    def best_first(pdf: pd.DataFrame) -> pd.DataFrame:
+        # the candidate pairs of one file: at most its vanished times its new fields
+        used: set[tuple[int, str]] = set()
+        rows = []
+        for r in pdf.sort_values(["share", "n", "field", "new_field"], ascending=[False, False, True, True], kind="stable").itertuples():
+            if (0, r.field) not in used and (1, r.new_field) not in used:
+                used |= {(0, r.field), (1, r.new_field)}
+                rows.append((r.at, r.field, r.new_field))
+        return pd.DataFrame(rows, columns=["at", "field", "new_field"])
+
+    taken = materialize(pairs.groupBy("at").applyInPandas(best_first, "at string, field string, new_field string"))
     renamed = taken.select(F.col("at").alias("path"), "field", F.lit("renamed").alias("change"), "new_field")
     rest = moved.join(renamed.select("path", "field", F.lit("removed").alias("change")), ["path", "field", "change"], "left_anti").join(renamed.select("path", F.col("new_field").alias("field"), F.lit("added").alias("change")), ["path", "field", "change"], "left_anti")
     return rest.select("path", "field", "change", F.lit("").alias("new_field")).unionByName(renamed).distinct()

@@ -6,66 +6,83 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.operators import copydiff, drift
-from framewright.storage import read_table
+from framewright.storage import materialize, read_table
 
 KEYS = ("item_id", "q_index")
 KEY_TYPES = {"item_id": "string", "q_index": "integer"}
 PAIR_VALUES = ("frame_count", "baseline_choice", "candidate_choice", "baseline_correct", "candidate_correct", "choice_drift", "correctness_drift")
 
 
-def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.rescue_ingest(read_table(spark, sf_dir, "raw_records"), KEY_TYPES, keep=("path", "line_no"))
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line once, however often it was delivered."""
+    return read_table(spark, sf_dir, "raw_records").select("path", "line_no", "payload").dropDuplicates()
+
+
+def _leaves(lines: DataFrame) -> DataFrame:
+    return materialize(drift.rescued_leaves(lines, KEY_TYPES, keep=("path",)).filter(~F.col("field").isin(*KEYS)))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every change of a field from one file of a label to the next."""
-    leaves = drift.rescued_leaves(_ingested(spark, sf_dir), ["path", *KEYS]).filter(~F.col("field").isin(*KEYS))
-    return drift.drift_report(leaves, drift.file_sequence(read_table(spark, sf_dir, "source_specs")), KEYS)
+    return drift.drift_report(_leaves(_lines(spark, sf_dir)), drift.file_sequence(read_table(spark, sf_dir, "source_specs")), KEYS)
 
 
 def p1_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All records as one table: the fields that any file has, renamed ones under one name.
 
-    The names that renames connect form one column under the name most files
-    use, dots written as ``__``; its type is that of most values.  The list of names is schema-sized and
-    is resolved on the driver, as any column list is.  A line delivered twice
-    counts once.
+    Within a label, the names that renames connect are one field; it goes by the
+    one of them that most files of all labels use, dots written as ``__``, and its
+    type is that of most values.  The list of names is schema-sized and is
+    resolved on the driver, as any column list is; every line is then ingested,
+    and the approved fields are replayed from its rescued leaves.
     """
-    ingested = _ingested(spark, sf_dir)
-    leaves = drift.rescued_leaves(ingested, ["path", *KEYS]).filter(~F.col("field").isin(*KEYS))
-    seq = drift.file_sequence(read_table(spark, sf_dir, "source_specs"))
-    renames = drift.drift_report(leaves, seq, KEYS).filter("change = 'renamed'").select("field", "new_field").distinct().collect()
-    use = leaves.groupBy("field", "type").agg(F.count("*").alias("n"), F.approx_count_distinct("path").alias("files")).collect()
-    files, kinds = {}, {}
+    specs = read_table(spark, sf_dir, "source_specs")
+    lines = _lines(spark, sf_dir)
+    leaves = _leaves(lines)
+    seq = drift.file_sequence(specs)
+    label = F.broadcast(seq.select("path", "label")) if specs.count() <= 100_000 else seq.select("path", "label")
+    report = drift.drift_report(leaves, seq, KEYS).filter("change = 'renamed'")
+    renames = report.join(label, "path").select("label", "field", "new_field").distinct().collect()
+    use = leaves.join(label, "path").groupBy("label", "field", "type").agg(F.count("*").alias("n"), F.approx_count_distinct("path").alias("files")).collect()
+    files, kinds, root = {}, {}, {}
     for r in use:
-        files[r.field] = max(files.get(r.field, 0), r.files)
-        kinds.setdefault(r.field, {})[r.type] = r.n
-    root = {f: f for f in files}
+        files[r.field] = files.get(r.field, 0) + r.files
+        kinds.setdefault(r.field, {}).setdefault(r.type, 0)
+        kinds[r.field][r.type] += r.n
+        root[r.label, r.field] = (r.label, r.field)
 
-    def find(f: str) -> str:
+    def find(f: tuple) -> tuple:
         while root[f] != f:
             root[f] = root[root[f]]
             f = root[f]
         return f
 
-    for a, b in sorted((r.field, r.new_field) for r in renames):
-        root[find(a)] = find(b)
-    groups: dict[str, list[str]] = {}
-    for f in sorted(files, key=lambda f: (-files[f], f)):
-        groups.setdefault(find(f), []).append(f)
+    for r in sorted(renames, key=str):
+        a, b = (r.label, r.field), (r.label, r.new_field)
+        if a in root and b in root:
+            root[find(a)] = find(b)
+    classes: dict[tuple, list[str]] = {}
+    for f in root:
+        classes.setdefault(find(f), []).append(f[1])
+    # per label: the column that a field goes to
+    order = lambda f: (-files[f], f)
+    column = {(root_[0], f): min(names, key=order) for root_, names in classes.items() for f in names}
+    names: dict[str, set[str]] = {}
+    for (_, f), c in column.items():
+        names.setdefault(c, set()).add(f)
     approved = {}
-    for names in groups.values():
+    for c in sorted(names):
         total: dict[str, int] = {}
-        for f in names:
+        for f in names[c]:
             for t, n in kinds[f].items():
                 if t != "null":
                     total[t] = total.get(t, 0) + n
         # a dot would be read as a path into a struct
-        column = names[0].replace(".", "__")
-        column = names[0] if column in approved else column
-        approved[column] = (max(sorted(total, key=drift.TYPES.index), key=total.get) if total else "string", names)
-    once = ingested.dropDuplicates(["path", "line_no", *KEYS, drift.RESCUED])
-    return drift.promote(once, dict(sorted(approved.items())))
+        name = c.replace(".", "__")
+        name = c if name in approved else name
+        approved[name] = (max(sorted(total, key=drift.TYPES.index), key=total.get) if total else "string", {k: sorted((f for (x, f), to in column.items() if x == k and to == c), key=order) for k in {x for x, _ in column}})
+    ingested = drift.rescue_ingest(lines.join(label, "path", "left"), KEY_TYPES, keep=("path", "line_no", "label"))
+    return drift.promote(ingested, approved, by="label").drop("label")
 
 
 def _letter(c: str) -> Column:

@@ -129,8 +129,7 @@ def canonical_json(spark, sf):
 @query()
 def json_leaves(spark, sf):
     """Every leaf of the JSON lines by dotted name and type, any depth."""
-    ing = drift.rescue_ingest(read_table(spark, sf, "raw_records"), {}, keep=("path", "line_no"))
-    return drift.rescued_leaves(ing, ["path", "line_no"]).select("path", "line_no", "field", "type")
+    return drift.rescued_leaves(read_table(spark, sf, "raw_records"), {}, keep=("path", "line_no")).drop("value")
 
 
 @query("SELECT session_key, arm_name, CASE WHEN duration = 'short' THEN 1 ELSE 0 END AS is_short, CASE WHEN duration = 'medium' THEN 1 ELSE 0 END AS is_medium, CASE WHEN duration = 'long' THEN 1 ELSE 0 END AS is_long, round(ln(stream_total_ms + 1), 6) AS log_ms, ingested_at FROM session_arms")

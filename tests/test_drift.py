@@ -16,8 +16,7 @@ def lines(spark, rows):
 
 
 def report(spark, rows, specs):
-    ing = drift.rescue_ingest(lines(spark, rows), {"item_id": "string", "q_index": "integer"}, keep=("path", "line_no"))
-    leaves = drift.rescued_leaves(ing, ["path", "item_id", "q_index"]).filter("field NOT IN ('item_id', 'q_index')")
+    leaves = drift.rescued_leaves(lines(spark, rows), {"item_id": "string", "q_index": "integer"}, keep=("path",)).filter("field NOT IN ('item_id', 'q_index')")
     seq = drift.file_sequence(spark.createDataFrame([(*s, T0, None, "x") for s in specs], SPECS))
     return {tuple(r) for r in drift.drift_report(leaves, seq, ("item_id", "q_index")).collect()}
 
@@ -44,6 +43,15 @@ def test_promotion_replays_and_loses_nothing(spark):
     assert [json.loads(out[i]._rescued) for i in (1, 2, 3)] == [{}, {"c": "maybe"}, {"new": 2}]
 
 
+def test_promotion_by_label(spark):
+    rows = [("a", 1, rec(1, old=1.5, c=3)), ("b", 2, rec(2, old="x", c=4)), ("c", 3, rec(3, old=5))]
+    src = lines(spark, rows).drop("label").withColumnRenamed("path", "label")
+    ing = drift.rescue_ingest(src, {"item_id": "string"}, keep=("line_no", "label"))
+    out = {r.line_no: r for r in drift.promote(ing, {"v": ("double", {"a": ["old"], "b": ["c"]})}, by="label").collect()}
+    assert [out[i].v for i in (1, 2, 3)] == [1.5, 4.0, None]
+    assert json.loads(out[2]._rescued) == {"q_index": 0, "old": "x"} and json.loads(out[3]._rescued) == {"q_index": 0, "old": 5}
+
+
 def test_report_of_every_kind(spark):
     r = random.Random(1)
     v = {i: r.randint(1, 10**6) for i in range(20)}
