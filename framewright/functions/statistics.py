@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.storage import materialize
+
 #: Fixed value: the 97.5 % point of the normal distribution.
 Z95 = 1.959963984540054
 
@@ -35,21 +37,95 @@ def mean_or_zero(c: Column) -> Column:
     return F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
 
 
+#: Cells per doubling of a value: the rows of a group are ordered cell by cell.
+CELLS_PER_OCTAVE = 128
+
+
+def cell(v: Column) -> Column:
+    """Number of a value's cell, ordered as the values; NaN is the greatest value."""
+    d = v.cast("double")
+    mag = F.floor(F.log2(F.abs(d)) * CELLS_PER_OCTAVE).cast("bigint") + F.lit(1100 * CELLS_PER_OCTAVE)
+    far = F.lit(1 << 40)
+    return F.when(F.isnan(d), far + 1).when(d == float("inf"), far).when(d == float("-inf"), -far).when(d > 0, mag).when(d < 0, -mag).otherwise(F.lit(0).cast("bigint"))
+
+
+def _same(keys: Sequence[str], a: str, b: str) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+    return on
+
+
+def _below(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``cells`` (``keys, _cell, _m``) plus ``_before``, the rows of the group in lower cells, and ``_n``, those of the group."""
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    up = w.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    return cells.withColumn("_before", F.coalesce(F.sum("_m").over(up), F.lit(0))).withColumn("_n", F.sum("_m").over(w))
+
+
+def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """``keys`` and, per name, the value of a rank (from 0) of each group.
+
+    A rank is given as a function of the number of non-null values.  Counts per
+    cell tell which cells hold the ranks; only their rows are ordered, cell by
+    cell, so no task takes a group.  Groups without values have no row.
+    """
+    d = materialize(df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), cell(F.col(value)).alias("_cell")))
+    below = _below(d.groupBy(*keys, "_cell").agg(F.count("*").alias("_m")), keys)
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), f(F.col("_n")).cast("bigint").alias("rank")) for name, f in ranks.items()]))
+    held = below.select(*keys, "_cell", "_before", "_m", wanted.alias("w")).filter("w.rank >= _before AND w.rank < _before + _m").select(*keys, "_cell", F.col("w.name").alias("_name"), (F.col("w.rank") - F.col("_before")).alias("_k"))
+    held = materialize(held)
+    both = [*keys, "_cell"]
+    rows = d.alias("x").join(held.select(*both).distinct().alias("h"), _same(both, "x", "h"), "left_semi").groupBy(*both, "_v").agg(F.count("*").alias("_m"))
+    upto = F.sum("_m").over(Window.partitionBy(*both).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_upto", upto)
+    j = rows.alias("x").join(held.alias("h"), _same(both, "x", "h") & (F.col("h._k") < F.col("x._upto")) & (F.col("h._k") >= F.col("x._upto") - F.col("x._m")))
+    return j.groupBy(*[F.col(f"x.{k}").alias(k) for k in keys]).agg(*[F.max(F.when(F.col("h._name") == name, F.col("x._v"))).alias(name) for name in ranks])
+
+
 def index_percentile(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """``sorted[int(p * (n - 1))]`` per group: neither of the built-in percentile rules.
+    """``sorted[int(p * (n - 1))]`` per group: neither of the built-in percentile rules."""
+    return select_ranks(df, keys, value, {name: (lambda n, p=p: F.floor(F.lit(p) * (n - 1))) for name, p in shares.items()})
+
+
+def percentile(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``keys`` and the interpolated percentiles of each group; the median is the share 0.5."""
+    at = lambda n, p: F.lit(float(p)) * (n - 1)
+    ranks = {f"{name}{end}": (lambda n, p=p, f=f: f(at(n, p))) for name, p in shares.items() for end, f in (("_lo", F.floor), ("_hi", F.ceil))}
+    d = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    got = select_ranks(d, keys, "_v", ranks)
+    n = d.groupBy(*keys).agg(F.count("*").alias("_n"))
+    j = got.alias("g").join(n.alias("n"), _same(keys, "g", "n"))
+    part = lambda p: at(F.col("_n"), p) - F.floor(at(F.col("_n"), p))
+    return j.select(*[F.col(f"g.{k}").alias(k) for k in keys], *[(F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * part(p)).alias(name) for name, p in shares.items()])
+
 
-    One window orders the values of a group; a conditional aggregate picks the ranks.
+def with_percentiles(groups: DataFrame, df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``groups``, one row per group, plus ``percentile`` of ``df``; null for a group without values."""
+    p = percentile(df, keys, value, shares)
+    return groups.alias("a").join(p.alias("p"), _same(keys, "a", "p"), "left").select("a.*", *[F.col(f"p.{n}") for n in shares])
+
+
+def with_position(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence[Column] = ()) -> DataFrame:
+    """``df`` plus ``_i``, the place (from 0) of a row by ``value`` and ``ties`` in its group, ``_first``, that of the first of its value, ``_last`` and ``_n``.
+
+    Rows are ordered cell by cell; the counts of lower cells are added.  Nulls
+    come first, as a cell of their own.
     """
-    w = Window.partitionBy(*keys)
-    d = df.filter(F.col(value).isNotNull()).select(*keys, value, F.row_number().over(w.orderBy(value)).alias("_i"), F.count("*").over(w).alias("_n"))
-    return d.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == F.floor(F.lit(p) * (F.col("_n") - 1)) + 1, F.col(value))).alias(name) for name, p in shares.items()])
+    d = materialize(df.withColumn("_cell", F.coalesce(cell(F.col(value)), F.lit(-(1 << 41)))))
+    below = _below(d.groupBy(*keys, "_cell").agg(F.count("*").alias("_m")), keys)
+    both = [*keys, "_cell"]
+    j = d.alias("x").join(below.alias("b"), _same(both, "x", "b")).select("x.*", "b._before", "b._n")
+    w = Window.partitionBy(*both)
+    first = F.rank().over(w.orderBy(value)) - 1
+    peers = F.count("*").over(Window.partitionBy(*both, value))
+    out = j.withColumn("_i", F.col("_before") + F.row_number().over(w.orderBy(value, *ties)) - 1).withColumn("_first", F.col("_before") + first).withColumn("_last", F.col("_first") + peers - 1)
+    return out.drop("_cell", "_before")
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
     """Ranks from 1 with ties at their mean."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    peers = F.count("*").over((Window.partitionBy(*keys, value)))
-    return df.withColumn(name, F.rank().over(w.orderBy(value)) + (peers - 1) / 2.0)
+    return with_position(df, keys, value).withColumn(name, (F.col("_first") + F.col("_last")) / 2.0 + 1).drop("_i", "_first", "_last", "_n")
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
@@ -86,15 +162,14 @@ def safe_filter(df: DataFrame, keys: Sequence[str], score: str, label: str, floo
     return ok.withColumn("_i", F.row_number().over(best)).filter("_i = 1").drop("_i")
 
 
-def equal_count_bins(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bins: int, name: str = "bin") -> DataFrame:
+def equal_count_bins(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence[Column], bins: int, name: str = "bin") -> DataFrame:
     """Bins of the ranks with edges ``round(i * n / bins)``, halves to even; not ``ntile``."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    d = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    d = with_position(df, keys, value, ties)
     edges = [F.bround(F.lit(i) * F.col("_n") / F.lit(bins)) for i in range(1, bins)]
     at = F.lit(0)
     for e in edges:
         at = at + F.when(F.col("_i") >= e, 1).otherwise(0)
-    return d.withColumn(name, at).drop("_i", "_n")
+    return d.withColumn(name, at).drop("_i", "_first", "_last", "_n")
 
 
 def kappa(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.functions import statistics as S
+from framewright.storage import materialize
+
 
 def dominated_by(cached: DataFrame, dense: DataFrame, by: Sequence[str], acc: str, cost: str, order: str) -> DataFrame:
     """``cached`` plus ``winner``: the first dense point (by ``order``) that it dominates.
@@ -28,36 +33,86 @@ def skyline(points: DataFrame, cost: str, score: str, by: Sequence[str] = ()) ->
     """Points no other beats: none of less or equal cost and greater or equal score, better in one.
 
     Equal points all stay.  Only the best score of each cost matters, and of
-    those the ones above all cheaper: an aggregate and one window over distinct
-    costs, not a self-join.
+    those the ones above all cheaper.  Costs are swept cell by cell; the best
+    score of the cells below is added, so no task takes all costs.
     """
-    best = points.filter(F.col(cost).isNotNull() & F.col(score).isNotNull()).groupBy(*by, cost).agg(F.max(score).alias(score))
-    w = Window.partitionBy(*by, *([] if by else [F.lit(0)])).orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
-    top = best.withColumn("_m", F.max(score).over(w)).filter(F.col("_m").isNull() | (F.col(score) > F.col("_m"))).drop("_m")
-    return points.join(top, [*by, cost, score], "left_semi")
+    best = points.filter(F.col(cost).isNotNull() & F.col(score).isNotNull()).groupBy(*by, cost).agg(F.max(score).alias(score)).withColumn("_cell", S.cell(F.col(cost)))
+    cells = best.groupBy(*by, "_cell").agg(F.max(score).alias("_top"))
+    up = Window.partitionBy(*by, *([] if by else [F.lit(0)])).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # some thousand cells
+    below = cells.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_cell").alias("_at"), F.max("_top").over(up).alias("_below"))
+    on = F.col("_cell") == F.col("_at")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    w = Window.partitionBy(*by, "_cell").orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
+    top = best.join(below, on).withColumn("_m", F.greatest(F.max(score).over(w), F.col("_below"))).filter(F.col("_m").isNull() | (F.col(score) > F.col("_m")))
+    return points.join(top.select(*by, cost, score), [*by, cost, score], "left_semi")
+
+
+class _Stair:
+    """Pairs (x, y) that no other is at or below in both: ascending x, descending y."""
+
+    def __init__(self):
+        self.x: list[float] = []
+        self.y: list[float] = []
+
+    def covers(self, x: float, y: float) -> bool:
+        i = bisect_right(self.x, x)
+        return i > 0 and self.y[i - 1] <= y
+
+    def add(self, x: float, y: float) -> None:
+        i = bisect_left(self.x, x)
+        j = i
+        while j < len(self.x) and self.y[j] >= y:
+            j += 1
+        self.x[i:j], self.y[i:j] = [x], [y]
 
 
 def skyline_3d(points: DataFrame, cost: str, score: str, second: str) -> DataFrame:
     """Skyline with a second score to be high.
 
-    First each partition drops points its own skyline beats (a beaten point
-    beats nothing that its better doesn't), which leaves few; those meet in one
-    anti-join.
+    A sweep by cost keeps the stairs of (score, second) seen so far, so a point
+    costs a binary search.  Each partition drops points its own sweep beats (a
+    beaten point beats nothing that its better doesn't).  The others are ranged by
+    cost; a range gives its stairs, and its points are swept after the stairs of
+    the ranges below.  Stairs are as long as the skyline of two scores.
     """
     src = points.filter(F.col(cost).isNotNull() & F.col(score).isNotNull() & F.col(second).isNotNull())
 
+    def sweep(rows, stair: _Stair):
+        for c, s, t in sorted(rows):
+            if not stair.covers(s, t):
+                stair.add(s, t)
+                yield c, s, t
+
     def local(batches):
-        front: list[tuple[float, float, float]] = []
+        left: set = set()
         for pdf in batches:
-            for c, s, t in sorted(set(zip(pdf[cost], -pdf[score], -pdf[second]))):
-                if not any(fc <= c and fs <= s and ft <= t for fc, fs, ft in front):
-                    front = [f for f in front if not (c <= f[0] and s <= f[1] and t <= f[2])] + [(c, s, t)]
-        yield pd.DataFrame([(c, -s, -t) for c, s, t in front], columns=["c", "s", "t"])
-
-    cand = src.select(F.col(cost).cast("double").alias(cost), F.col(score).cast("double").alias(score), F.col(second).cast("double").alias(second)).mapInPandas(local, "c double, s double, t double").distinct()
-    a, b = cand.alias("a"), cand.alias("b")
-    beats = (F.col("b.c") <= F.col("a.c")) & (F.col("b.s") >= F.col("a.s")) & (F.col("b.t") >= F.col("a.t")) & ((F.col("b.c") < F.col("a.c")) | (F.col("b.s") > F.col("a.s")) | (F.col("b.t") > F.col("a.t")))
-    top = a.join(b, beats, "left_anti").select(F.col("c").alias("_c"), F.col("s").alias("_s"), F.col("t").alias("_t"))
+            left |= set(zip(pdf["c"], -pdf["s"], -pdf["t"]))
+            if len(left) > 100_000:
+                left = set(sweep(left, _Stair()))
+        yield pd.DataFrame([(c, -s, -t) for c, s, t in sweep(left, _Stair())], columns=["c", "s", "t"])
+
+    cand = src.select(F.col(cost).cast("double").alias("c"), F.col(score).cast("double").alias("s"), F.col(second).cast("double").alias("t"))
+    cand = materialize(cand.mapInPandas(local, "c double, s double, t double").distinct())
+    parts = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # points of one cost stay in one range
+    ranged = materialize(cand.repartitionByRange(parts, "c").withColumn("_p", F.spark_partition_id()))
+
+    def stairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        stair = _Stair()
+        for s, t in sorted(zip(-pdf["s"], -pdf["t"])):
+            if not stair.covers(s, t):
+                stair.add(s, t)
+        return pd.DataFrame({"_p": pdf["_p"].iloc[0], "s": [-x for x in stair.x], "t": [-y for y in stair.y]})
+
+    low = ranged.groupBy("_p").applyInPandas(stairs, "_p int, s double, t double")
+    spread = low.select(F.explode(F.sequence(F.col("_p") + 1, F.greatest(F.lit(parts), F.col("_p") + 1))).alias("_p"), F.lit(float("-inf")).alias("c"), "s", "t")
+
+    def final(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [(c, -s, -t) for c, s, t in sweep(zip(pdf["c"], -pdf["s"], -pdf["t"]), _Stair()) if c != float("-inf")]
+        return pd.DataFrame(out, columns=["_c", "_s", "_t"])
+
+    top = ranged.select("_p", "c", "s", "t").unionByName(spread).groupBy("_p").applyInPandas(final, "_c double, _s double, _t double")
     return src.join(top, (F.col(cost).cast("double") == F.col("_c")) & (F.col(score).cast("double") == F.col("_s")) & (F.col(second).cast("double") == F.col("_t")), "left_semi")
 
 
@@ -82,8 +137,8 @@ def policy_suite() -> dict[str, Column]:
         dense[f"dense_on_{s}"] = d == s
     for a, b in (("short", "medium"), ("short", "long"), ("medium", "long")):
         dense[f"dense_on_{a}_{b}"] = d.isin(a, b)
-    dense["q0_gain_oracle"] = F.col("dense.q0_stream_correct") > F.col("pruned.q0_stream_correct")
-    dense["session_gain_oracle"] = F.col("dense.stream_correct") > F.col("pruned.stream_correct")
+    dense["dense_if_q0_gains"] = F.col("dense.q0_stream_correct") > F.col("pruned.q0_stream_correct")
+    dense["dense_if_session_gains"] = F.col("dense.stream_correct") > F.col("pruned.stream_correct")
     return {k: F.coalesce(v, F.lit(False)) for k, v in dense.items()}
 
 

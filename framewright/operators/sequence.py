@@ -22,6 +22,27 @@ def gaps(time: Column, keys: Sequence[str], order: Sequence[str]) -> Column:
     return time - F.lag(time).over(Window.partitionBy(*keys).orderBy(*order))
 
 
+#: Numbers of an ordering column that are numbered together: a task holds as many distinct ones at most.
+STRETCH = 1 << 16
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: str, name: str, stretch: int = STRETCH) -> DataFrame:
+    """``df`` plus ``name``: the place (from 0) of a row in its key by the whole number ``order``.
+
+    A key is numbered in stretches of ``order``; the counts of the stretches
+    before are added, so a key of any length spreads over the tasks.
+    """
+    d = df.withColumn("_at", F.floor(F.col(order) / stretch))
+    n = d.groupBy(*keys, "_at").agg(F.count("*").alias("_m"))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = n.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_at").alias("_to"), before.alias("_before"))
+    on = F.col("_at").eqNullSafe(F.col("_to"))
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_at").orderBy(order)) - 1 + F.col("_before")
+    return d.join(n, on).withColumn(name, place.cast("bigint")).select(*df.columns, name)
+
+
 def sessions(df: DataFrame, keys: Sequence[str], seconds: str, gap: float, order: Sequence[str]) -> DataFrame:
     """Numbers the sessions of a key (``session``, from 0): a pause longer than ``gap`` begins one."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -34,10 +55,21 @@ def turn_buckets(df: DataFrame, keys: Sequence[str], turn: str, size: int, metri
     return df.groupBy(*keys, F.floor(F.col(turn) / size).alias("bucket")).agg(F.count("*").alias("n"), *metrics)
 
 
-def spans(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
-    """``span_from``, ``span_to``: from after the sample before to the sample itself."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    return df.withColumns({"span_from": F.coalesce(F.lag(at).over(w) + 1, F.col(at)), "span_to": F.col(at)})
+def spans(df: DataFrame, keys: Sequence[str], at: str, stretch: int = STRETCH) -> DataFrame:
+    """``span_from``, ``span_to``: from after the sample before to the sample itself.
+
+    ``at`` are whole numbers.  The samples of a key are ordered in stretches; the
+    greatest of the stretches before goes to the first of the next.
+    """
+    d = df.withColumn("_at", F.floor(F.col(at) / stretch))
+    ends = d.groupBy(*keys, "_at").agg(F.max(at).alias("_end"))
+    last = F.max("_end").over(Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_at").alias("_to"), last.alias("_last"))
+    on = F.col("_at").eqNullSafe(F.col("_to"))
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    before = F.coalesce(F.lag(at).over(Window.partitionBy(*keys, "_at").orderBy(at)), F.col("_last"))
+    return d.join(ends, on).withColumns({"span_from": F.coalesce(before + 1, F.col(at)), "span_to": F.col(at)}).select(*df.columns, "span_from", "span_to")
 
 
 def offsets(df: DataFrame, keys: Sequence[str], order: Sequence[str], length: str) -> DataFrame:

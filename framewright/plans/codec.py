@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.functions import statistics as ST
 from framewright.operators import codec as C
 from framewright.operators import pairing as P
 from framewright.operators import reuse as R
 from framewright.operators import sequence as SQ
 from framewright.plans import frames as FP
 from framewright.plans import runs as RP
-from framewright.storage import read_table
+from framewright.storage import materialize, read_table
 
 Q: dict = {}
 O: dict = {}
@@ -176,8 +177,12 @@ def histogram(spark, sf):
 def margins_by_drift(spark, sf):
     """Margins of drifting, stable and all pairs."""
     p = RP._paired(spark, sf).select("benchmark", (~F.col("ca").eqNullSafe(F.col("cb"))).alias("drift"), (F.col("ta") - F.col("tb")).alias("m"))
+    p = materialize(p)
     d, s = F.when(F.col("drift"), F.col("m")), F.when(~F.col("drift"), F.col("m"))
-    return p.groupBy("benchmark").agg(*[F.round(e, 4).alias(n) for n, e in (("mean_drift", F.avg(d)), ("mean_stable", F.avg(s)), ("median_drift", F.median(d)), ("median_all", F.median("m")))])
+    g = p.groupBy("benchmark").agg(F.avg(d).alias("mean_drift"), F.avg(s).alias("mean_stable"))
+    g = ST.with_percentiles(g, p.filter("drift"), ["benchmark"], "m", {"median_drift": 0.5})
+    g = ST.with_percentiles(g, p, ["benchmark"], "m", {"median_all": 0.5})
+    return g.select("benchmark", *[F.round(n, 4).alias(n) for n in ("mean_drift", "mean_stable", "median_drift", "median_all")])
 
 
 @query("WITH f AS (SELECT label AS clip, vec_id AS pos FROM embeddings) SELECT clip, pos, coalesce(lag(pos) OVER w + 1, pos) AS span_from, pos AS span_to FROM f WINDOW w AS (PARTITION BY clip ORDER BY pos)")

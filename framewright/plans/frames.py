@@ -13,7 +13,8 @@ from framewright.functions import statistics as S
 from framewright.operators import frames as B
 from framewright.operators import reuse as R
 from framewright.operators import selection as L
-from framewright.storage import read_table
+from framewright.operators import sequence as SQ
+from framewright.storage import materialize, read_table
 
 W = H = 8
 BLOCK, COLS = 2, 4
@@ -21,8 +22,8 @@ STATIC_T, SHIFTED_T = 0.11, 0.16
 
 
 def _frames(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    return read_table(spark, sf, "embeddings").select(F.col("label").alias("clip"), t.cast("bigint").alias("t"), F.col("embedding").alias("plane"))
+    e = read_table(spark, sf, "embeddings").select(F.col("label").alias("clip"), "vec_id", F.col("embedding").alias("plane"))
+    return SQ.numbered(e, ["clip"], "vec_id", "t").select("clip", "t", "plane")
 
 
 def _diffs(spark: SparkSession, sf: str) -> DataFrame:
@@ -413,7 +414,10 @@ def feature_distance(spark, sf):
 @query(f"WITH {_COS} SELECT clip, count(*) AS n, round(avg(dist), 6) AS mean, round(stddev_pop(dist), 6) AS std, round(median(dist), 6) AS median, round(quantile_cont(dist, 0.05), 6) AS p05, round(quantile_cont(dist, 0.95), 6) AS p95 FROM fc GROUP BY clip")
 def drift_distribution(spark, sf):
     """Distribution of the feature distance per clip, linear quantiles."""
-    return _features(spark, sf).groupBy("clip").agg(F.count("*").alias("n"), *[F.round(e, 6).alias(n) for n, e in (("mean", F.avg("dist")), ("std", F.stddev_pop("dist")), ("median", F.median("dist")), ("p05", F.percentile("dist", 0.05)), ("p95", F.percentile("dist", 0.95)))])
+    d = materialize(_features(spark, sf).select("clip", "dist"))
+    g = d.groupBy("clip").agg(F.count("*").alias("n"), F.round(F.avg("dist"), 6).alias("mean"), F.round(F.stddev_pop("dist"), 6).alias("std"))
+    shares = {"median": 0.5, "p05": 0.05, "p95": 0.95}
+    return S.with_percentiles(g, d, ["clip"], "dist", shares).select("clip", "n", "mean", "std", *[F.round(n, 6).alias(n) for n in shares])
 
 
 _RK = "rk AS (SELECT *, rank() OVER (PARTITION BY clip ORDER BY round(mad, 9)) + (count(*) OVER (PARTITION BY clip, round(mad, 9)) - 1) / 2.0 AS rm, rank() OVER (PARTITION BY clip ORDER BY round(dist, 9)) + (count(*) OVER (PARTITION BY clip, round(dist, 9)) - 1) / 2.0 AS rd FROM fc)"
@@ -430,10 +434,10 @@ def corr_pixel_feature(spark, sf):
 @query(f"WITH {_BK} SELECT clip, round(quantile_cont(s, 0.4), 6) AS static_t, round(quantile_cont(s, 0.8), 6) AS shifted_t FROM bk GROUP BY clip UNION ALL SELECT NULL, round(quantile_cont(s, 0.4), 6), round(quantile_cont(s, 0.8), 6) FROM bk")
 def threshold_calibration(spark, sf):
     """Thresholds that give target shares, per clip and pooled (null clip)."""
-    b = _blocks(spark, sf)
-    e = [F.round(F.percentile("s", 0.4), 6).alias("static_t"), F.round(F.percentile("s", 0.8), 6).alias("shifted_t")]
-    pooled = b.agg(*e).select(F.lit(None).cast(b.schema["clip"].dataType).alias("clip"), "static_t", "shifted_t")
-    return b.groupBy("clip").agg(*e).unionByName(pooled)
+    b = materialize(_blocks(spark, sf).select("clip", "s"))
+    shares = {"static_t": 0.4, "shifted_t": 0.8}
+    pooled = S.percentile(b, [], "s", shares).select(F.lit(None).cast(b.schema["clip"].dataType).alias("clip"), *shares)
+    return S.percentile(b, ["clip"], "s", shares).unionByName(pooled).select("clip", *[F.round(n, 6).alias(n) for n in shares])
 
 
 @query(f"WITH {_PX}, n AS (SELECT clip, CAST(floor(v * 8) AS INTEGER) AS q, count(*) AS n FROM px GROUP BY ALL), p AS (SELECT clip, n / sum(n) OVER (PARTITION BY clip) AS p FROM n) SELECT clip, round(-sum(p * log2(p)), 6) AS entropy FROM p GROUP BY clip")

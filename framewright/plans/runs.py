@@ -104,10 +104,12 @@ SELECT benchmark, n, round(acc_a, 6) AS acc_a, round(acc_b, 6) AS acc_b, round(a
 def arm_comparison(spark, sf):
     """Accuracy delta, agreement, ratio-of-sums speed-up and the ceiling that the vision share allows."""
     both = lambda x, *on: F.sum(F.when(F.greatest(*[F.col(c).isNull() for c in on]) == False, F.col(x)))  # noqa: E712,E731
-    g = _paired(spark, sf).groupBy("benchmark").agg(
+    pairs = materialize(_paired(spark, sf))
+    g = pairs.groupBy("benchmark").agg(
         F.count("*").alias("n"), F.avg(F.col("a").cast("int")).alias("acc_a"), F.avg(F.col("b").cast("int")).alias("acc_b"), F.avg(F.col("ca").eqNullSafe(F.col("cb")).cast("int")).alias("agreement"),
-        (both("ta", "ta", "tb") / both("tb", "ta", "tb")).alias("speedup"), (both("va", "va", "ta") / both("ta", "va", "ta")).alias("share"), (1 - both("vb", "va", "vb") / both("va", "va", "vb")).alias("reduction"), F.median(F.when(F.col("tb") > 0, F.col("ta") / F.col("tb"))).alias("median_ratio"),
+        (both("ta", "ta", "tb") / both("tb", "ta", "tb")).alias("speedup"), (both("va", "va", "ta") / both("ta", "va", "ta")).alias("share"), (1 - both("vb", "va", "vb") / both("va", "va", "vb")).alias("reduction"),
     )
+    g = S.with_percentiles(g, pairs.filter("tb > 0").select("benchmark", (F.col("ta") / F.col("tb")).alias("r")), ["benchmark"], "r", {"median_ratio": 0.5})
     c = FR.ceiling(F.col("share"), F.col("reduction"))
     return g.select("benchmark", "n", *_r6(("acc_a", F.col("acc_a")), ("acc_b", F.col("acc_b")), ("delta", F.col("acc_b") - F.col("acc_a")), ("agreement", F.col("agreement")), ("speedup", F.col("speedup")), ("share", F.col("share")), ("reduction", F.col("reduction")), ("ceiling", c)), F.round(F.col("speedup") - c, 5).alias("residual"), F.round("median_ratio", 6).alias("median_ratio"))
 
@@ -197,7 +199,7 @@ def threshold_evaluation(spark, sf):
 @query(f"WITH {_ONCE}, l AS (SELECT benchmark, generate_ms AS s, CAST(correct AS INTEGER) AS y, result_id FROM once WHERE arm = 'dense' AND generate_ms IS NOT NULL AND correct IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY benchmark ORDER BY s, result_id) - 1 AS i, count(*) OVER (PARTITION BY benchmark) AS n FROM l), b AS (SELECT *, (SELECT count(*) FROM range(1, 5) e(k) WHERE i >= round_even(k * n / 5.0, 0)) AS bin FROM r) SELECT benchmark, CAST(bin AS INTEGER) AS bin, count(*) AS n, round(avg(s), 4) AS mean_s, round(avg(y), 6) AS rate FROM b GROUP BY benchmark, bin")
 def calibration_bins(spark, sf):
     """Equal-count bins with edges rounded half to even."""
-    d = S.equal_count_bins(_labelled(spark, sf), ["benchmark"], [F.col("s"), F.col("result_id")], 5)
+    d = S.equal_count_bins(_labelled(spark, sf), ["benchmark"], "s", [F.col("result_id")], 5)
     return d.groupBy("benchmark", "bin").agg(F.count("*").alias("n"), F.round(F.avg("s"), 4).alias("mean_s"), F.round(F.avg("y"), 6).alias("rate"))
 
 
@@ -214,10 +216,11 @@ def kappa_choices(spark, sf):
 def standardised_timings(spark, sf):
     """Standard and median-based scores of a timing per arm; the statistics are joined, not windowed."""
     r = _results(spark, sf).filter("generate_ms IS NOT NULL").select("arm", "result_id", "generate_ms")
-    m = r.groupBy("arm").agg(F.avg("generate_ms").alias("m"), F.stddev_pop("generate_ms").alias("s"), F.median("generate_ms").alias("med"))
+    r = materialize(r)
+    m = r.groupBy("arm").agg(F.avg("generate_ms").alias("m"), F.stddev_pop("generate_ms").alias("s"))
+    m = materialize(S.with_percentiles(m, r, ["arm"], "generate_ms", {"med": 0.5}))
     j = r.join(m, "arm").withColumn("dev", F.abs(F.col("generate_ms") - F.col("med")))
-    mad = j.groupBy("arm").agg(F.median("dev").alias("mad"))
-    j = j.join(mad, "arm")
+    j = j.join(S.percentile(j, ["arm"], "dev", {"mad": 0.5}), "arm")
     s = F.when(F.col("s") < 1e-8, 1.0).otherwise(F.col("s"))
     rz = (F.col("generate_ms") - F.col("med")) / (F.col("mad") + 1e-6)
     return j.select("result_id", F.round((F.col("generate_ms") - F.col("m")) / s, 5).alias("z"), F.round(rz, 4).alias("robust_z"), (rz > 1.5).alias("event"))
@@ -245,7 +248,9 @@ def fps_summary(spark, sf):
     """Frames per second of the vision stage."""
     r = P.last_wins(read_table(spark, sf, "item_results").select("result_id", "ingested_at", "arm", "n_frames", "vision_ms"), ["result_id"], ["ingested_at"]).filter("vision_ms > 0 AND n_frames IS NOT NULL")
     f = 1000.0 * F.col("n_frames") / F.col("vision_ms")
-    return r.groupBy("arm").agg(*_r6(("fps", 1000.0 * F.sum("n_frames") / F.sum("vision_ms")), ("median_fps", F.median(f)), ("least", F.min(f)), ("most", F.max(f))), F.count_if(f >= 30).alias("n_30"))
+    r = materialize(r.select("arm", "n_frames", "vision_ms", f.alias("f")))
+    g = r.groupBy("arm").agg(*_r6(("fps", 1000.0 * F.sum("n_frames") / F.sum("vision_ms")), ("least", F.min("f")), ("most", F.max("f"))), F.count_if(F.col("f") >= 30).alias("n_30"))
+    return S.with_percentiles(g, r, ["arm"], "f", {"median_fps": 0.5}).withColumn("median_fps", F.round("median_fps", 6))
 
 
 @query(f"WITH {_ONCE} SELECT coalesce(CAST(keep_rate AS VARCHAR), 'all') AS keep_rate, count(*) AS n, round(avg(CAST(correct AS INTEGER)), 6) AS accuracy, avg(CAST(correct AS INTEGER)) >= 0.3 AND avg(CAST(parse_failure AS INTEGER)) <= 0.2 AS passes FROM once GROUP BY keep_rate")
@@ -373,7 +378,7 @@ def session_metrics(spark, sf):
     return s.select("session_key", "duration", "split", (F.col("pruned.stream_correct") - F.col("dense.stream_correct")).alias("gain"), F.col("pruned.q0_stream_correct").alias("q0_pruned"), F.col("dense.q0_stream_correct").alias("q0_dense"), x("pruned").alias("speedup_pruned"), x("dense").alias("speedup_dense"))
 
 
-_POLS = {"all_pruned": "false", "all_dense": "true", "dense_on_short": "duration = 'short'", "dense_on_medium": "duration = 'medium'", "dense_on_long": "duration = 'long'", "dense_on_short_medium": "duration IN ('short', 'medium')", "dense_on_short_long": "duration IN ('short', 'long')", "dense_on_medium_long": "duration IN ('medium', 'long')", "q0_gain_oracle": "d.q0_stream_correct > p.q0_stream_correct", "session_gain_oracle": "d.stream_correct > p.stream_correct"}
+_POLS = {"all_pruned": "false", "all_dense": "true", "dense_on_short": "duration = 'short'", "dense_on_medium": "duration = 'medium'", "dense_on_long": "duration = 'long'", "dense_on_short_medium": "duration IN ('short', 'medium')", "dense_on_short_long": "duration IN ('short', 'long')", "dense_on_medium_long": "duration IN ('medium', 'long')", "dense_if_q0_gains": "d.q0_stream_correct > p.q0_stream_correct", "dense_if_session_gains": "d.stream_correct > p.stream_correct"}
 _POLSQL = " UNION ALL ".join(f"SELECT '{n}' AS policy, coalesce({c}, false) AS is_dense, CASE WHEN coalesce({c}, false) THEN d ELSE p END AS arm FROM sp" for n, c in _POLS.items())
 
 

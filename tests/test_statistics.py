@@ -29,7 +29,7 @@ def test_kappa_with_null_as_a_category(spark):
 
 def test_bins_round_half_to_even(spark):
     d = spark.createDataFrame([("g", i) for i in range(10)], "g string, v int")
-    n = {r.bin: r.n for r in S.equal_count_bins(d, ["g"], [F.col("v")], 4).groupBy("bin").agg(F.count("*").alias("n")).collect()}
+    n = {r.bin: r.n for r in S.equal_count_bins(d, ["g"], "v", [], 4).groupBy("bin").agg(F.count("*").alias("n")).collect()}
     assert n == {0: 2, 1: 3, 2: 3, 3: 2}  # edges 2.5 -> 2, 5, 7.5 -> 8
 
 
