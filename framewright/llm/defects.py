@@ -12,30 +12,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm import truncation, winnow
+from framewright.llm import language, truncation, winnow
 from framewright.storage import materialize
 
-#: Function words by language.
-FUNCTION_WORDS = {
-    "en": "the a an of to in is are was it its that this and or not no at from with by who what which how when then so be can you your must until before after where while under behind beside someone there",
-    "de": "der die das den dem des ein eine einen ist sind war und oder nicht kein auf im am in zu mit von bei nach vor wie wer welche welcher sich man dass ob während hinter neben unter nur zuerst danach was noch wird zum es",
-    "fr": "le la les l un une des du de d est sont et ou ne pas que qui dans sur sous avec pour par ce se on où quand au aux à il elle cette vers après pendant c n s bien non devant derrière juste avant",
-    "es": "el la los las un una del de es son y o no que en sobre con para por se lo al cuando qué cómo dónde mientras hacia después está sigue nadie hay lo más detrás encima debajo junto si antes",
-    "it": "il lo la i gli le un una del della di è sono e o non che in su con per si al alla nel nella mentre dopo ciò dalla sul verso se nessuno proprio dal dietro sotto sopra vicino ancora prima più",
-    "nl": "de het een en of niet is zijn was dat die in op te met van bij na voor naar wat wie hoe zich zie je aan niemand ligt terwijl achter onder naast boven nog er tot zonder",
-    "pt": "o a os as um uma do da dos das de é são e ou não que em no na com para por se ao à quando depois enquanto está vê ninguém mesmo atrás debaixo cima junto perto antes sobre mais",
-    "ru": "и в на не что с по к у за над под это то из для был была было видно пока после перед кто где как или а же ещё нельзя никто возле",
-}
-_OF: dict[str, list[str]] = {}
-for _lang, _ws in FUNCTION_WORDS.items():
-    for _w in set(_ws.split()):
-        _OF.setdefault(_w, []).append(_lang)
+#: A language counts from this confidence on.
+SURE = 0.6
 
 #: Marks of a chat format, which are no content.
 _SPECIAL = re.compile(r"<\|?[\w/ -]{1,30}\|?>")
@@ -47,53 +33,72 @@ _NAMED = (
 _LETTER = re.compile(r"^[\W_]*(?i:option|answer|antwort|réponse|respuesta)?[\s:]*[A-Ea-e](?:[).:\]*—–-]|\s*[—–-]\s|[\W_]*$)" rf"|{_NAMED}(?:[B-E]\b|A\b(?!\s+[^\W\d_A-Z]))")
 #: Before a lower-case word, A may be the article: it counts as an option where nothing is declined.
 _ARTICLE = re.compile(_NAMED + r"A\b")
-#: Ways to decline, in the languages of the questions.
+#: What a response speaks of when it says that it lacks something to answer.
+_MEDIUM = r"(?:(?:frame|image|picture|video|clip|footage|excerpt|recording|material|context|information|detail|evidence)s?)"
+_ACT = (
+    r"(?:tell|say|answer|respond|reply|determine|decide|judge|guess|speculate|choose|pick|select|comment|conclude|identify|help|assist|verify|know|be (?:sure|certain)"
+    r"|(?:make|give|offer|provide|reach) (?:an?y?|the|my|you)\b|(?:view|see|watch|access|open|play|process|load) (?:this|the|that|these|any|your)(?: \w+)? " + _MEDIUM + ")"
+)
+_UNABLE = r"(?:can(?:not|['’]t| not)|could(?:n['’]t| not)|won['’]t|will not|would rather not|(?:am|are|['’]m|['’]re) (?:not able|unable|not in a position)|do(?:n['’]t| not) (?:wish|want|know|feel able))"
+#: Ways to decline: the speaker is unable or unwilling to answer, or what was shown does not suffice.  By language of the questions.
 _REFUSAL = re.compile(
-    r"\b(?:sorry|apolog\w+|unfortunately|declin\w+|unable to|not able to|cannot|can['’]t|won['’]t|will not|not possible|without access|as an? (?:ai|assistant|language model)"
-    r"|(?:do|does) not (?:give|allow|let|show)|none of the|not enough|no letter is given"
-    r"|leider|es tut mir leid|reich(?:t|en) nicht|kann (?:ich|zu)|nicht (?:beantworten|möglich)|keine aussage"
-    r"|désolé\w*|malheureusement|impossible|ne (?:peux|suffi\w+|permet\w*) pas|suffisent pas"
-    r"|lo siento|no puedo|no (?:me )?es posible|no bastan|lamentablemente)\b",
+    "|".join((
+        # a speaker, no ability or will, an act of answering; "The man cannot open the door" has none of the first
+        rf"\b(?:I|we|this (?:assistant|model))\b[^.;!?]{{0,20}}{_UNABLE}\b[^.;!?]{{0,25}}?\b{_ACT}\b",
+        r"\b(?:I|we)\b[^.;!?]{0,30}\b(?:decline|refuse|abstain|must pass)\b",
+        rf"\bunable to {_ACT}\b",
+        rf"(?:not|n['’]t) possible (?:for (?:me|us) )?to {_ACT}\b|\bimpossible (?:for (?:me|us) )?to {_ACT}\b",
+        r"\b(?:nothing|no more) can be (?:said|told|concluded|determined|judged)\b|\b(?:this|that|it|the question) can(?:not|['’]t) be (?:answered|determined|decided|told|judged)\b|\bno (?:letter|option|answer|choice) (?:is|can be|will be) (?:given|chosen|picked|named)\b",
+        rf"\bas an? (?:ai|assistant|language model)\b|\bwithout access to (?:the|this|that|any) {_MEDIUM}",
+        rf"\b{_MEDIUM}\b[^.;!?]{{0,20}}(?:do(?:es)?(?: not|n['’]t)|can(?:not|['’]t)|fails? to)\s+(?:\w+\s+){{0,2}}?(?:give|allow|let|show|contain|provide|include|suffice|load|open|play|support|help|tell)\b",
+        rf"\bnone of (?:the|these|those) (?:\w+ )?{_MEDIUM}[^.;!?]{{0,20}}\b(?:let|allow|show|give|help|tell|suffice)",
+        rf"\b(?:not|n['’]t) (?:have |see )?(?:enough|sufficient) {_MEDIUM}|\b(?:insufficient|too little) {_MEDIUM}",
+        # German
+        r"\b(?:kann|können|könnte|möchte|darf|will|vermag)\b[^.;!?]{0,70}\b(?:nicht|keine?n?)\b[^.;!?]{0,25}(?:beantworten|sagen|beurteilen|entscheiden|bestimmen|antworten|feststellen|wählen|aussage|antwort|angabe|treffen|machen)",
+        r"\b(?:frage|antwort|das|dies|es)\b[^.;!?,]{0,15}\b(?:lässt|lassen) sich\b[^.;!?]{0,40}\bnicht\b[^.;!?]{0,20}(?:sagen|beantworten|bestimmen|entscheiden|beurteilen)",
+        r"\b(?:bild\w*|video\w*|aufnahme\w*|ausschnitt\w*|einzelbild\w*|information\w*)\b[^.;!?]{0,30}\b(?:reich\w+|genüg\w+|erlaub\w+|zeig\w+)\b[^.;!?]{0,25}\b(?:nicht|zu wenig)\b",
+        r"\bist (?:es )?(?:mir )?nicht möglich\b|\bich (?:verweigere|lehne)\b",
+        # French
+        r"\b(?:je|nous) (?:ne |n['’])[^.;!?]{0,10}(?:peux|pouvons|saurais|sais|suis|veux|souhaite)\b[^.;!?]{0,60}(?:répondre|dire|déterminer|juger|choisir|savoir|prononcer|trancher|deviner|voir)",
+        r"\b(?:image|vidéo|extrait|information|élément|séquence)s?\b[^.;!?]{0,30}\b(?:ne |n['’])(?:me |nous )?(?:suffi\w+|permet\w*|montre\w*)",
+        r"\bimpossible (?:pour moi )?de (?:\w+ )?(?:répondre|dire|déterminer|juger|choisir|savoir|trancher|prononcer)|\bje refuse\b",
+        # Spanish
+        r"\bno (?:me )?(?:puedo|podemos|sé|sabría|quiero|es posible)\b[^.;!?]{0,40}(?:responder|contestar|decir|determinar|elegir|saber|juzgar|decidir|ver)",
+        r"\b(?:imágenes|imagen|v[ií]deo|fragmento|información|fotogramas?)\b[^.;!?]{0,30}\bno (?:me )?(?:bastan?|permiten?|muestran?|alcanzan?|dejan?|son suficientes|es suficiente)\b|\bme niego\b",
+    )),
     re.IGNORECASE,
 )
 _PROMPT = {"question", "you", "asked", "the", "was", "is", "your", "options", "option", "a", "b", "c", "d", "e", "frage", "pregunta", "q"}
 
 
-@lru_cache(1 << 16)
-def language(text: str) -> str | None:
-    """The language by function words and script; null if they do not tell."""
-    ws = re.findall(r"[^\W\d_]+", text.lower())
-    if len(ws) < 3:
-        return None
-    score: dict[str, float] = {}
-    for w in ws:
-        if "а" <= w[0] <= "я" or w[0] == "ё":
-            score["ru"] = score.get("ru", 0) + 1
-        for lang in (of := _OF.get(w, ())):
-            score[lang] = score.get(lang, 0) + 1 / len(of) ** 0.5
-    if not score:
-        return None
-    best = sorted(score.items(), key=lambda x: (-x[1], x[0]))
-    if best[0][1] < 1.2 or (len(best) > 1 and best[0][1] < 1.15 * best[1][1]):
-        return None
-    return best[0][0]
-
-
 def judge(text: str | None) -> tuple[str, str | None]:
-    """What the text alone tells: ``empty``, ``refusal``, ``letter`` or ``other``, and its language."""
+    """What the text alone tells: ``empty``, ``refusal``, ``letter`` or ``other``, and the prose whose language counts.
+
+    Prose is the text without an option letter; a bare letter has none.
+    """
     bare = _SPECIAL.sub(" ", text or "")
     if not any(c.isalnum() for c in bare):
         return "empty", None
     if _LETTER.search(bare):
-        # the language is that of the prose without the letter
-        return "letter", language(_LETTER.sub(" ", bare, count=1)) if len(bare) > 14 else None
-    if _REFUSAL.search(bare) and not bare.rstrip(" \"'”").endswith("?"):
-        return "refusal", None
-    if _REFUSAL.search(bare) and re.search(r"[.;!]\s", bare):
+        return "letter", _LETTER.sub(" ", bare, count=1)
+    asks = bare.rstrip(" \"'”").endswith("?") and not re.search(r"[.;!]\s", bare)
+    if not asks and _REFUSAL.search(bare):
         return "refusal", None
     if _ARTICLE.search(bare):
-        return "letter", language(_ARTICLE.sub(" ", bare, count=1))
-    return "other", language(bare)
+        return "letter", _ARTICLE.sub(" ", bare, count=1)
+    return "other", bare
+
+
+def languages(texts: Sequence[str | None], model: language.Model) -> list[str | None]:
+    """The language of each text; null where it has less than ``SURE`` confidence or no letters."""
+    at = [i for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)]
+    out: list[str | None] = [None] * len(texts)
+    for x in range(0, len(at), 4096):
+        part = at[x : x + 4096]
+        p = language.softmax(model.scores([texts[i] for i in part]))
+        for i, k, c in zip(part, p.argmax(axis=1), p.max(axis=1)):
+            out[i] = language.LANGUAGES[k] if c >= SURE else None
+    return out
 
 
 def copies_question(text: str, question: str, options: Sequence[str]) -> bool:
@@ -111,7 +116,7 @@ def copies_question(text: str, question: str, options: Sequence[str]) -> bool:
 
 def shortened(a: str, b: str) -> bool:
     """Whether ``a`` is ``b`` cut in a word or a sentence."""
-    if len(a) < 8 or len(b) <= len(a) or not b.startswith(a):
+    if not a or len(b) <= len(a) or not b.startswith(a):
         return False
     rest = b[len(a) :]
     if a[-1].isalnum() and rest[0].isalnum():
@@ -121,38 +126,47 @@ def shortened(a: str, b: str) -> bool:
 
 
 def neighbour_copies(texts: DataFrame) -> DataFrame:
-    """Texts (distinct ``t``, ``open``) that are shortened versions of their neighbour in text order.
+    """Texts (distinct ``t``, ``open``) that are shortened versions of a text that follows in text order.
 
-    If any text continues ``t``, the next one in order does.  Texts are sorted
-    by range; where a range ends, its last texts meet the first of the next in
-    a table of two rows per range.
+    The texts that begin with ``t`` follow it without a gap, so open texts wait on
+    a stack while what follows begins with them.  Texts are sorted by range; what
+    waits at the end of a range meets the first text of each later range that
+    begins with it, in a table of one row per range and one per waiting text.
     """
-    src = texts.filter(F.length("t") >= 8).select("t", "open", truncation.text_of("t").alias("s"))
+    src = texts.select("t", "open", truncation.text_of("t").alias("s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[str] = []  # open texts with the current key
-        key, first = None, None
-        found: list[str] = []
+        stack: list[tuple[str, list[str]]] = []  # each key begins the next one; open texts of a key
+        first = None
+        cut: list[str] = []
         for b in batches:
             for t, o, s in zip(b.column("t").to_pylist(), b.column("open").to_pylist(), b.column("s").to_pylist()):
-                if s != key:
-                    if key is None:
-                        first = s
-                    elif waiting and shortened(key, s):
-                        found += waiting
-                    key, waiting = s, []
+                first = s if first is None else first
+                while stack and not s.startswith(stack[-1][0]):
+                    stack.pop()
+                if stack and s == stack[-1][0]:
+                    if o:
+                        stack[-1][1].append(t)
+                    continue
+                left = []
+                for key, waiting in stack:
+                    if shortened(key, s):
+                        cut += waiting
+                    else:
+                        left.append((key, waiting))
+                stack = left
                 if o:
-                    waiting.append(t)
-        rows = [("cut", t, None) for t in found]
-        if key is not None:
-            rows += [("first", None, first)] + ([("last", t, key) for t in waiting] or [])
+                    stack.append((s, [t]))
+            if cut:
+                yield pa.RecordBatch.from_arrays([pa.array(["cut"] * len(cut)), pa.array(cut, pa.string()), pa.nulls(len(cut), pa.string())], names=["kind", "t", "s"])
+                cut = []
+        rows = ([("first", None, first)] if first is not None else []) + [("last", t, key) for key, waiting in stack for t in waiting]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["kind", "t", "s"])
 
     parts = max(1, int(src.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     got = materialize(src.repartitionByRange(parts, "s").sortWithinPartitions("s", "t").mapInArrow(run, "kind string, t string, s string"))
-    # borders: a range's last texts are continued only by the least first text above them
     last, firsts = got.filter("kind = 'last'").select("t", "s"), got.filter("kind = 'first'").select(F.col("s").alias("f"))
-    nxt = last.join(F.broadcast(firsts), F.col("f") > F.col("s")).groupBy("t", "s").agg(F.min("f").alias("f"))
+    nxt = last.join(F.broadcast(firsts), F.startswith("f", "s") & (F.col("f") > F.col("s"))).select("t", "s", "f")
 
     def border(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,12 +180,12 @@ def neighbour_copies(texts: DataFrame) -> DataFrame:
 SALTS = 8
 
 
-def find_defects(results: DataFrame, items: DataFrame) -> DataFrame:
+def find_defects(results: DataFrame, items: DataFrame, model: language.Model) -> DataFrame:
     """``result_id, defect``, distinct, of results without a proper answer.
 
     ``results``: ``result_id, source, item_id, text, generation_tokens``;
     ``items``: ``item_id, question, candidates``, any number of rows per item;
-    the item's language is that of most of its wordings (ties: the last in order).
+    ``model`` tells languages; the item's language is that of most of its wordings (ties: the last in order).
     A result of an unknown or null item has no question: only truncation,
     emptiness and refusal are judged.  Rows with a null ``result_id`` are judged
     and reported with null.  Empty tables give no rows.
@@ -179,14 +193,14 @@ def find_defects(results: DataFrame, items: DataFrame) -> DataFrame:
     r = results.select("result_id", "source", "item_id", "text", "generation_tokens")
     cut = materialize(truncation.cut_texts(r, copies=neighbour_copies).select("result_id", "text").distinct())
 
+    shared = results.sparkSession.sparkContext.broadcast(model)  # one table of fixed size
+
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kinds, langs, keep = [], [], []
-            for t in b.column("text").to_pylist():
-                k, lang = judge(t)
-                kinds.append(k)
-                langs.append(lang)
-                keep.append(t if k == "other" else None)
+            texts = b.column("text").to_pylist()
+            kinds, prose = zip(*map(judge, texts)) if texts else ((), ())
+            langs = languages(prose, shared.value)
+            keep = [t if k == "other" else None for k, t in zip(kinds, texts)]
             yield pa.RecordBatch.from_arrays([b.column("result_id"), b.column("item_id"), pa.array(kinds, pa.string()), pa.array(langs, pa.string()), pa.array(keep, pa.string())], names=["result_id", "item_id", "kind", "lang", "text"])
 
     id_type = r.schema["result_id"].dataType.simpleString()
@@ -200,7 +214,7 @@ def find_defects(results: DataFrame, items: DataFrame) -> DataFrame:
 
     def of_wording(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang = [language(q) if q else None for q in b.column("question").to_pylist()]
+            lang = languages(b.column("question").to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([b.column("item_id"), b.column("question"), b.column("candidates"), pa.array(lang, pa.string())], names=["item_id", "question", "candidates", "q_lang"])
 
     known = materialize(wordings.mapInArrow(of_wording, "item_id string, question string, candidates array<string>, q_lang string"))

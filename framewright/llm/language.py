@@ -120,6 +120,8 @@ class Model:
         return s / self.temperature
 
 
+#: Weight of the L1 penalty: a gram weighs in a language only if its gradients add up to more.
+L1 = 0.3
 #: Term frequencies are relative; this brings them to the size of the rates below.
 SCALE = 5.0
 
@@ -140,9 +142,12 @@ def _sparse(texts: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def fit(texts: Sequence[str], labels: Sequence[str], alpha: float = 0.1, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3, epochs: int = 2, batch: int = 32, seed: int = 7) -> Model:
-    """FTRL-proximal with elastic net on paragraphs; every fifth is held out for the temperature.
+def fit(texts: Sequence[str], labels: Sequence[str], docs: Sequence | None = None, alpha: float = 0.1, beta: float = 1.0, l1: float = L1, l2: float = 1e-3, epochs: int = 2, batch: int = 32, seed: int = 7) -> Model:
+    """FTRL-proximal with elastic net on paragraphs; those of every fifth document are held out for the temperature.
 
+    ``docs`` names the document of each paragraph (none: each its own).  IDF and
+    weights come from the others alone.  The held-out labels stay
+    as they are, see ``_temperature``.
     Languages without a sample get no weight; without any sample every text
     scores alike.
     """
@@ -151,14 +156,17 @@ def fit(texts: Sequence[str], labels: Sequence[str], alpha: float = 0.1, beta: f
         return Model(np.zeros((DIM, k), np.float32), np.zeros(k, np.float32), 1.0)
     y = np.array([LANGUAGES.index(x) for x in labels])
     feats = _sparse(texts)
-    df = np.zeros(DIM, np.float32)
-    for f, _ in feats:
-        df[f] += 1
-    idf = np.log((1 + len(texts)) / (1 + df)).astype(np.float32) + 1
     rng = np.random.default_rng(seed)
+    ids = list(range(len(texts))) if docs is None else list(docs)
+    names = sorted(set(ids), key=str)
+    out = {names[i] for i in rng.permutation(len(names))[: len(names) // 5]} if len(names) >= 20 else set()
     order = rng.permutation(len(texts))
-    held = order[: len(order) // 5] if len(order) >= 20 else order[:0]
-    train = order[len(held):]
+    apart = np.array([ids[i] in out for i in order])
+    held, train = order[apart], order[~apart]
+    df = np.zeros(DIM, np.float32)
+    for i in train:
+        df[feats[i][0]] += 1
+    idf = np.log((1 + len(train)) / (1 + df)).astype(np.float32) + 1
     n_of = np.bincount(y[train], minlength=k)
     cost = np.where(n_of > 0, len(train) / (k * np.maximum(n_of, 1)), 0).astype(np.float32)  # languages weigh alike
 
@@ -203,15 +211,44 @@ def fit(texts: Sequence[str], labels: Sequence[str], alpha: float = 0.1, beta: f
     table, bias = run(train[ok[train]])
     m = Model(table.astype(np.float32), bias, 1.0)
     m.table[0] = 0
-    held = held[ok[held]]
     if len(held):
-        s = m.scores([texts[i] for i in held])
-        grid = np.geomspace(0.05, 20, 60)
-        loss = [-np.log(softmax(s / t)[np.arange(len(held)), y[held]] + 1e-12).mean() for t in grid]
-        m.temperature = float(grid[int(np.argmin(loss))])
+        held = held[np.argsort([names.index(ids[i]) for i in held], kind="stable")]
+        m.temperature = _temperature(m.scores([texts[i] for i in held]), y[held], np.array([names.index(ids[i]) for i in held]))
     return m
 
 
+def _temperature(s: np.ndarray, y: np.ndarray, doc: np.ndarray) -> float:
+    """The likeliest temperature of scores whose paragraphs are sorted by document.
+
+    A document has one language, which its label names but for a share of wrong
+    labels; a paragraph has it but for a share of changes.  Both shares are
+    fitted along, so no paragraph is left out for contradicting its label.
+    """
+    k = s.shape[1]
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    label = y[first]
+    best = (np.inf, 1.0)
+    for t in np.geomspace(0.05, 20, 60):
+        p = softmax(s / t)
+        for change in (0.005, 0.02, 0.05, 0.1, 0.2):
+            of = np.add.reduceat(np.log((1 - change) * p + change / (k - 1) * (1 - p) + 1e-12), first, axis=0)
+            for wrong in (0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3):
+                prior = np.full(of.shape, np.log(wrong / (k - 1)))
+                prior[np.arange(len(label)), label] = np.log(1 - wrong)
+                loss = -np.logaddexp.reduce(of + prior, axis=1).sum()
+                best = min(best, (loss, float(t)))
+    return best[1]
+
+
+def calibration_error(model: Model, texts: Sequence[str], labels: Sequence[str], bins: int = 10) -> float:
+    """Expected calibration error: the mean distance of confidence and accuracy over bins of confidence."""
+    p = softmax(model.scores(texts))
+    top, conf = p.argmax(axis=1), p.max(axis=1)
+    right = np.array([LANGUAGES[i] == x for i, x in zip(top, labels)])
+    at = np.minimum((conf * bins).astype(int), bins - 1)
+    return float(sum(abs(conf[at == b].mean() - right[at == b].mean()) * (at == b).mean() for b in range(bins) if (at == b).any()))
+
+
 def fit_on(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
     """A model from a bounded sample of the labelled documents.
 
@@ -226,11 +263,11 @@ def fit_on(docs: DataFrame, text: str = "text", label: str = "lang", key: str =
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
     u = F.pmod(F.xxhash64("k", F.lit(1)), F.lit(1_000_003)) / 1_000_003.0
     rows = named.filter((u < F.element_at(share, F.col("l"))) & (F.length("t") <= FIT_CHARS)).orderBy(F.xxhash64("k")).limit(2 * per_language * len(LANGUAGES)).collect()
-    pairs = [(p, r.l) for r in rows for p in paragraphs(r.t)]
+    pairs = [(p, r.l, i) for i, r in enumerate(rows) for p in paragraphs(r.t)]
     if len(pairs) > FIT_PARAGRAPHS:
         pick = np.random.default_rng(3).permutation(len(pairs))[:FIT_PARAGRAPHS]
         pairs = [pairs[i] for i in sorted(pick)]
-    return fit([p for p, _ in pairs], [x for _, x in pairs])
+    return fit([p for p, _, _ in pairs], [x for _, x, _ in pairs], [i for _, _, i in pairs])
 
 
 #: A paragraph counts as another language than the rest of its document from this confidence on.

@@ -97,8 +97,9 @@ def p6_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results without a proper answer and their defect."""
-    return defects.find_defects(read_table(spark, sf_dir, "item_results"), read_table(spark, sf_dir, "bench_items"))
+    """Results without a proper answer and their defect; languages are learned from the labelled documents."""
+    model = language.fit_on(read_table(spark, sf_dir, "documents"))
+    return defects.find_defects(read_table(spark, sf_dir, "item_results"), read_table(spark, sf_dir, "bench_items"), model)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

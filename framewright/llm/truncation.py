@@ -2,9 +2,10 @@
 
 Three kinds of evidence, all from statistics over every row:
 
-* near copies: min-hash banding over word shingles finds copies of at least
-  ``SIMILAR``; in verified pairs the copy whose alignment ends early, inside a
-  sentence of the other, was cut;
+* near copies: min-hash banding over the word shingles of beginnings finds texts
+  that begin alike; in verified pairs (``SIMILAR`` of the shorter's shingles are
+  in the longer) the copy whose alignment ends early, inside a word or sentence
+  of the other, was cut;
 * closing words: for texts that end without a sentence end, how often the last
   word and its context close a sentence elsewhere.  A context is the sentence so
   far with every word but the commonest reduced to a placeholder, so a sentence
@@ -14,8 +15,8 @@ Three kinds of evidence, all from statistics over every row:
   complete is one more cut text, if there are more of them than at the
   lengths around it.
 
-Count tables are hashed into a fixed number of slots: their size does not
-depend on the data, so they may be collected and broadcast.
+Count tables are hashed into slots, more for more text but of a bounded number,
+so they may be collected and broadcast.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ CONTEXTS = ((999, 400), (999, 200), (999, 70), (6, 200), (4, 70), (3, 200), (2,
 COMMON = 400
 #: So many of them are tried before the others.
 SPECIFIC = 4
-#: Slots of a count table (a power of two).
-SLOTS = 1 << 19
+#: Slots of a count table: the power of two next to one per ``TEXT_PER_SLOT`` characters, between these.
+LEAST_SLOTS, MOST_SLOTS, TEXT_PER_SLOT = 1 << 19, 1 << 21, 1 << 11
 #: Each context is counted in two slots; the lesser count holds (a count-min sketch).
 HASHES = 2
 #: A context counts from this many sightings on.
@@ -51,7 +52,11 @@ CLOSES, CLOSES_SHARE = 2, 2e-6
 #: Marks that exports put where they cut: an ellipsis after text, a broken escape, a replacement character.
 MARKS = "…\\�"
 SIMILAR, SHINGLE = 0.8, 5
-ROWS, BANDS = 4, 8
+ROWS, BANDS = 3, 5
+#: Words of the beginnings that are signed: each text has those it is long enough for, an open one is looked up by its longest.
+BEGINNINGS = tuple(9 << i for i in range(24))
+#: Words before the last of open texts too short for that: up to so many, no shingle of them may differ, so they are looked up word for word.
+SHORT = (6, 7, 8)
 #: Texts of a bucket in one block of the join.
 BLOCK = 1000
 
@@ -111,8 +116,9 @@ def common_words(texts: DataFrame) -> list[str]:
 class _Vocabulary(dict):
     """Token -> its class and two word slots in one number, remembered up to a bounded number of words."""
 
-    def __init__(self, common: Sequence[str]):
+    def __init__(self, common: Sequence[str], slots: int):
         self.common = {w: _FIRST + i for i, w in enumerate(common)}
+        self.slots = slots
 
     def __missing__(self, w: str) -> int:
         if len(self) > 1 << 20:
@@ -131,7 +137,8 @@ class _Vocabulary(dict):
         else:
             k = self.common.get(_word(w), _OTHER)
         h = winnow.word_hash(_word(w))
-        v = self[w] = (k * SLOTS + ((h >> 40) & (SLOTS - 1))) * SLOTS + (h & (SLOTS - 1))
+        n = self.slots
+        v = self[w] = (k * n + ((h >> 40) & (n - 1))) * n + (h & (n - 1))
         return v
 
 
@@ -139,7 +146,8 @@ def _encode(texts: Sequence[str], vocab: _Vocabulary) -> tuple[np.ndarray, np.nd
     """Classes, two word slots, and for every context the slots of that which ends at a token."""
     toks = _tokens("\x00".join(["", *texts, ""]))
     both = np.fromiter(map(vocab.__getitem__, toks), np.int64, len(toks))
-    cls, word = both // (SLOTS * SLOTS), np.stack([both % SLOTS, both // SLOTS % SLOTS])
+    size = vocab.slots
+    cls, word = both // (size * size), np.stack([both % size, both // size % size])
     n = len(cls)
     pos = np.arange(n)
     border = (cls == _STOP) | (cls == _LINE) | (cls == _SEP)
@@ -157,12 +165,12 @@ def _encode(texts: Sequence[str], vocab: _Vocabulary) -> tuple[np.ndarray, np.nd
         h = (prefix[level][pos + 1] - prefix[level][a]) * inverse[a]
         h = (h + (a == start).astype(np.uint64) * np.uint64(77) + np.uint64(i)) * _B
         h ^= h >> np.uint64(31)
-        ctx[i, 0] = (h & np.uint64(SLOTS - 1)).astype(np.int64)
-        ctx[i, 1] = ((h >> np.uint64(32)) & np.uint64(SLOTS - 1)).astype(np.int64)
+        ctx[i, 0] = (h & np.uint64(size - 1)).astype(np.int64)
+        ctx[i, 1] = ((h >> np.uint64(32)) & np.uint64(size - 1)).astype(np.int64)
     return cls, word, ctx
 
 
-_LETTER_SLOTS = np.array([winnow.word_hash(chr(c)) & (SLOTS - 1) for c in range(65, 91)])
+_LETTERS = np.array([winnow.word_hash(chr(c)) & (LEAST_SLOTS - 1) for c in range(65, 91)])
 
 
 def _chunks(texts: list[str], chars: int = 1 << 21) -> Iterator[list[str]]:
@@ -183,11 +191,14 @@ class Closings:
     """Sightings of contexts and words, closing a sentence and not."""
 
     common: list[str]
-    context: np.ndarray  # contexts x 2 x SLOTS
-    word: np.ndarray  # 2 x SLOTS
+    context: np.ndarray  # contexts x 2 x slots
+    word: np.ndarray  # 2 x slots
     sentences: float  # sightings in all, closing and not
     inner: float
 
+    def vocabulary(self) -> _Vocabulary:
+        return _Vocabulary(self.common, self.word.shape[-1])
+
 
 def count_closings(texts: DataFrame) -> Closings:
     """Counts over all sentences of a one-column table of texts.
@@ -196,10 +207,14 @@ def count_closings(texts: DataFrame) -> Closings:
     """
     common = common_words(texts)
     n_tables = len(CONTEXTS) + 1
+    chars = texts.agg(F.sum(F.length(texts.columns[0]))).first()[0] or 0
+    slots = LEAST_SLOTS
+    while slots < min(MOST_SLOTS, chars / TEXT_PER_SLOT):
+        slots *= 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = _Vocabulary(common)
-        total = np.zeros((n_tables, 2, SLOTS), np.int64)
+        vocab = _Vocabulary(common, slots)
+        total = np.zeros((n_tables, 2, slots), np.int64)
         for b in batches:
             for ts in _chunks([t for t in b.column(0).to_pylist() if t]):
                 cls, word, ctx = _encode(ts, vocab)
@@ -209,23 +224,24 @@ def count_closings(texts: DataFrame) -> Closings:
                 goes_on = inner & ((nxt == _OTHER) | (nxt == _NUMBER) | (nxt >= 6))
                 for side, m in ((0, np.flatnonzero(closes)), (1, np.flatnonzero(goes_on))):
                     for k in range(len(CONTEXTS)):
-                        for slots in ctx[k]:
-                            total[k, side] += np.bincount(slots[m], minlength=SLOTS)
-                for slots in word:
-                    total[-1, 0] += np.bincount(slots[closes], minlength=SLOTS)
-                    total[-1, 1] += np.bincount(slots[goes_on], minlength=SLOTS)
+                        for at in ctx[k]:
+                            total[k, side] += np.bincount(at[m], minlength=slots)
+                for at in word:
+                    total[-1, 0] += np.bincount(at[closes], minlength=slots)
+                    total[-1, 1] += np.bincount(at[goes_on], minlength=slots)
         flat = total.reshape(-1)
         at = np.flatnonzero(flat)
         for i in range(0, len(at), 100_000):
             part = at[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(flat[part].astype(np.int64))], names=["slot", "n"])
 
-    counts = texts.mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.least(F.sum("n"), F.lit(2**30)).cast("int").alias("n"))
-    total = np.zeros(n_tables * 2 * SLOTS, np.int32)
-    got = counts.toArrow()  # at most 12 million slots of 12 bytes, whatever the data
+    # ratios matter: a count of any size is held to seven digits
+    counts = texts.mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").cast("float").alias("n"))
+    total = np.zeros(n_tables * 2 * slots, np.float32)
+    got = counts.toArrow()  # at most 34 million slots of 12 bytes, whatever the data
     total[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    total = total.reshape(n_tables, 2, SLOTS)
-    sums = total[-1].sum(axis=1, dtype=np.int64) / HASHES
+    total = total.reshape(n_tables, 2, slots)
+    sums = total[-1].sum(axis=1, dtype=np.float64) / HASHES
     return Closings(common, total[:-1], total[-1], float(sums[0]), float(sums[1]))
 
 
@@ -260,10 +276,10 @@ def closing_score(texts: Sequence[str], c: Closings, vocab: _Vocabulary) -> np.n
     p[(cls[end] >= 6) & (cls[end] < _FIRST)] = 0  # comma, colon, dash
     # a lone letter after a sentence is the beginning of another
     before = np.maximum(end - 1, 0)
-    p[is_word & (cls[before] == _STOP) & (end - seps[:-1] > 6) & np.isin(word[0, end], _LETTER_SLOTS)] = 0
+    p[is_word & (cls[before] == _STOP) & (end - seps[:-1] > 6) & np.isin(word[0, end] & (LEAST_SLOTS - 1), _LETTERS)] = 0
     # some words and a letter are a short answer, whatever the corpus
     stops = np.cumsum(cls == _STOP)
-    p[np.isin(word[0, end], _LETTER_SLOTS) & (end - seps[:-1] <= 6) & (stops[end] == stops[seps[:-1]])] = 1
+    p[np.isin(word[0, end] & (LEAST_SLOTS - 1), _LETTERS) & (end - seps[:-1] <= 6) & (stops[end] == stops[seps[:-1]])] = 1
     p[empty] = 1
     p[(cls[end] == _STOP) | (cls[end] == _LINE)] = 1
     return p
@@ -276,7 +292,7 @@ def score_ends(rows: DataFrame, text: str, closings: Closings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        vocab = _Vocabulary(c.common)
+        vocab = c.vocabulary()
         for b in batches:
             p = closing_score([t or "" for t in b.column(text).to_pylist()], c, vocab)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, "p_close"])
@@ -304,65 +320,116 @@ def limits(scored: DataFrame) -> DataFrame:
     return j.filter(piled & (F.col("whole") > 2 * F.greatest(F.lit(1.0), F.col("whole_around")))).select("source", "measure", "value")
 
 
-def _signatures(texts: Sequence[str], hasher: winnow.Hasher, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of the texts with enough words, their word counts, distinct shingles, and min-hashes (texts x permutations)."""
-    words = [winnow.words(t) for t in texts]
-    at = np.array([i for i, w in enumerate(words) if len(w) >= SHINGLE], np.int64)
+def _beginnings(words: Sequence[list[str]], hasher: winnow.Hasher, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of texts given as words: rows of text, number of its beginning, its words in all, the min-hashes of the beginning (rows x permutations), and bits of shingles.
+
+    The bits are those of the first shingles, as many as a text looked up by this
+    beginning can have, and those of all shingles that leave out the last word.
+    Texts of fewer words than the least beginning have none.
+    """
+    at = np.array([i for i, w in enumerate(words) if len(w) >= BEGINNINGS[0]], np.int64)
     n = np.array([len(words[i]) for i in at], np.int64)
     if not len(at):
-        return at, n, n, np.zeros((0, len(a)), np.uint64)
+        return at, n, n, np.zeros((0, len(a)), np.uint64), np.zeros((2, 0), np.int64), np.zeros((2, 0), np.int64)
     flat = np.fromiter((hasher[w] for i in at for w in words[i]), np.uint64, int(n.sum()))
     g = winnow.kgram_hashes(flat, SHINGLE)
-    # shingles that reach into the next text are those of no text: they take another's place
     start = np.cumsum(n) - n
-    own = np.arange(len(g))
-    last = np.repeat(start + n - SHINGLE, n)[: len(g)]
-    g = g[np.minimum(own, last)]
-    start = np.minimum(start, len(g) - 1)
-    owner = np.repeat(np.arange(len(n)), n)[: len(g)]
-    by = np.lexsort((g, owner))
-    new = np.concatenate([[True], (np.diff(owner[by]) != 0) | (g[by][1:] != g[by][:-1])])
-    shingles = np.bincount(owner[by][new], minlength=len(n))
-    return at, n, shingles, np.stack([np.minimum.reduceat(g * x + y, start) for x, y in zip(a, b)], axis=1)
+    # shingles of a text: up to a beginning's last; cuts of the reduction at each beginning
+    kinds = [np.full(int((n >= w).sum()), i) for i, w in enumerate(BEGINNINGS) if (n >= w).any()]
+    owner = np.concatenate([np.flatnonzero(n >= w) for w in BEGINNINGS[: len(kinds)]])
+    kind = np.concatenate(kinds)
+    order = np.lexsort((kind, owner))
+    owner, kind = owner[order], kind[order]
+    ends = np.array(BEGINNINGS)[kind] - SHINGLE + 1
+    before = np.where(kind > 0, np.array((SHINGLE - 1, *BEGINNINGS))[kind] - SHINGLE + 1, 0)
+    # pairs of (from, to); reduceat takes every other segment
+    cuts = np.stack([start[owner] + before, start[owner] + ends], axis=1).ravel()
+    sig = np.empty((len(owner), len(a)), np.uint64)
+    for k, (x, y) in enumerate(zip(a, b)):
+        h = np.append(g * x + y, np.uint64(0))
+        sig[:, k] = np.minimum.reduceat(h, cuts)[::2]
+    # a longer beginning holds the shorter ones
+    for i in range(1, len(kinds)):
+        rows = np.flatnonzero(kind == i)
+        sig[rows] = np.minimum(sig[rows], sig[rows - 1])
+    place = g >> np.uint64(57)
+    bit = [np.append(np.where(place >> np.uint64(6) == i, np.uint64(1) << (place & np.uint64(63)), np.uint64(0)), np.uint64(0)) for i in (0, 1)]
+
+    def some(ends: np.ndarray) -> np.ndarray:
+        cuts = np.stack([start[owner], start[owner] + ends], axis=1).ravel()
+        return np.stack([np.bitwise_or.reduceat(x, cuts)[::2].astype(np.int64) for x in bit])
+
+    first = np.minimum(n[owner] - SHINGLE + 1, 2 * np.array(BEGINNINGS)[kind] + 1)
+    return at[owner], kind, n[owner], sig, some(first), some(np.maximum(n[owner] - SHINGLE, 1))
+
+
+def _short_keys(words: Sequence[list[str]], hasher: winnow.Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of text, words of the beginning, and a key of those words and the next one's first letter."""
+    at, size, key = [], [], []
+    for i, ws in enumerate(words):
+        h = 0
+        for k, w in enumerate(ws[: SHORT[-1]]):
+            h = ((h ^ hasher[w]) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+            if k + 1 in SHORT and len(ws) > k + 1:
+                at.append(i)
+                size.append(k + 1)
+                key.append(h ^ ord(ws[k + 1][0]) ^ (k + 1 << 32))
+    return np.array(at, np.int64), np.array(size, np.int64), np.array(key, np.uint64)
 
 
 def near_copies(texts: DataFrame) -> DataFrame:
     """Texts of which a longer near copy goes on where they end.
 
-    ``texts``: distinct rows ``t``, ``open`` (no sentence end).  Shingles of
-    ``SHINGLE`` words, min-hash in ``BANDS`` bands of ``ROWS``.  In each bucket an
-    open text is paired with every other of at least its words whose number of
-    distinct shingles lets ``SIMILAR`` be reached; the open texts of a large bucket come in blocks.
-    Pairs are verified (Jaccard similarity of ``SIMILAR``, alignment up to the end
-    of the shorter).  Returns ``t``.
+    ``texts``: distinct rows ``t``, ``open`` (no sentence end).  A cut copy is
+    alike only to a beginning of the whole, so beginnings of ``BEGINNINGS`` words
+    are signed: shingles of ``SHINGLE`` words, min-hash in ``BANDS`` bands of
+    ``ROWS``.  An open text is looked up by the longest that leaves out its last
+    word, and is paired with every other text of the bucket that has at least its
+    words and may have enough of its shingles, as bits tell; the open texts of a large bucket come in blocks.  Pairs are verified by
+    ``ends_early``.  Returns ``t``.  Texts below the least beginning have no
+    near copies.
     """
     rng = np.random.default_rng(11)
     a = rng.integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
     b0 = rng.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64)
+    lengths = np.array(BEGINNINGS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = winnow.Hasher()
         for b in batches:
             first = 0
             for ts in _chunks([t or "" for t in b.column("t").to_pylist()]):
-                at, n, shingles, sig = _signatures(ts, h, a, b0)
+                words = [winnow.words(t) for t in ts]
+                at, kind, n, sig, bits, mine = _beginnings(words, h, a, b0)
                 k = np.zeros((len(at), BANDS), np.uint64)
                 for c in range(ROWS):
                     k = (k ^ sig[:, c::ROWS]) * _B
-                k ^= np.arange(BANDS, dtype=np.uint64)
+                k ^= np.arange(BANDS, dtype=np.uint64) + (kind.astype(np.uint64) << np.uint64(8))[:, None]
+                opens = b.column("open").to_numpy(zero_copy_only=False).astype(bool)
+                asks = opens[at + first] & (n > lengths[kind]) & ((kind + 1 == len(lengths)) | (n <= lengths[np.minimum(kind + 1, len(lengths) - 1)]))
                 take = pa.array(np.repeat(at + first, BANDS))
+                x, size, key = _short_keys(words, h)
+                total = np.array([len(ws) for ws in words], np.int32)[x]
+                take_x = pa.array(x + first)
+                none = pa.array(np.zeros(len(x), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), b.column("id").take(take_x), pa.array(opens[x + first] & (total == size + 1)), pa.array(total), none, none, none, none], names=["key", "id", "asks", "n", "bits0", "bits1", "mine0", "mine1"])
                 first += len(ts)
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel().astype(np.int64)), b.column("id").take(take), b.column("open").take(take), *(pa.array(np.repeat(x, BANDS).astype(np.int32)) for x in (n, shingles))], names=["key", "id", "open", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel().astype(np.int64)), b.column("id").take(take), pa.array(np.repeat(asks, BANDS)), pa.array(np.repeat(n, BANDS).astype(np.int32)), *(pa.array(np.repeat(x, BANDS)) for x in (*bits, *np.where(asks, mine, 0)))], names=["key", "id", "asks", "n", "bits0", "bits1", "mine0", "mine1"])
 
-    texts = texts.select(F.xxhash64("t").alias("id"), "t", "open")
-    bands = materialize(texts.mapInArrow(run, "key bigint, id bigint, open boolean, n int, shingles int"))
-    sizes = bands.groupBy("key").agg(F.count("*").alias("size"), F.count_if("open").alias("opens")).filter("opens > 0 AND size > 1").select("key", (F.floor(F.col("opens") / BLOCK).cast("int") + 1).alias("blocks"))
+    texts = materialize(texts.select(F.xxhash64("t").alias("id"), "t", "open"))  # read three times
+    bands = materialize(texts.mapInArrow(run, "key bigint, id bigint, asks boolean, n int, bits0 bigint, bits1 bigint, mine0 bigint, mine1 bigint"))
+    sizes = bands.groupBy("key").agg(F.count("*").alias("size"), F.count_if("asks").alias("opens")).filter("opens > 0 AND size > 1").select("key", (F.floor(F.col("opens") / BLOCK).cast("int") + 1).alias("blocks"))
     dealt = bands.join(sizes, "key")
-    a_side = dealt.filter("open").select("key", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "id", "n", F.col("shingles").alias("s"))
-    b_side = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("longer"), F.col("n").alias("m"), "shingles")
-    pairs = a_side.join(b_side, ["key", "block"]).filter((F.col("m") >= F.col("n")) & (F.col("id") != F.col("longer")) & (F.least("s", "shingles") >= SIMILAR * F.greatest("s", "shingles"))).select("id", "longer").distinct()
+    a_side = dealt.filter("asks").select("key", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "id", "n", "mine0", "mine1")
+    b_side = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("longer"), F.col("n").alias("m"), "bits0", "bits1")
+    # a bit that the longer lacks is a shingle that it lacks
+    lacks = sum((F.bit_count(F.col(f"mine{i}").bitwiseAND(F.bitwise_not(f"bits{i}"))) for i in (0, 1)), F.lit(0))
+    may = (F.col("m") >= F.col("n")) & (F.col("id") != F.col("longer")) & (lacks <= F.lit(1 - SIMILAR) * (F.col("n") - SHINGLE) + F.lit(1e-9))
+    pairs = a_side.join(b_side, ["key", "block"]).filter(may).select("id", "longer").distinct()
+    # a fixed number of partitions: the pairs are small beside the work they make
+    parts = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     short = texts.filter("open").select("id", F.col("t").alias("a"))
-    both = pairs.join(short, "id").join(texts.select(F.col("id").alias("longer"), F.col("t").alias("b")), "longer").select("id", "a", "b")
+    both = pairs.join(short, "id").repartition(parts, "longer").join(texts.select(F.col("id").alias("longer"), F.col("t").alias("b")), "longer").select("id", "a", "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -374,18 +441,46 @@ def near_copies(texts: DataFrame) -> DataFrame:
     return both.mapInArrow(verify, "t string").distinct()
 
 
+def _find(words: list[str], run: list[str], near: int) -> int:
+    """Place of a run of words, the nearest to ``near``; -1 for none."""
+    at = [i for i in range(len(words) - len(run) + 1) if words[i] == run[0] and words[i : i + len(run)] == run]
+    return min(at, key=lambda i: abs(i - near), default=-1)
+
+
 def ends_early(short: str, long: str) -> bool:
-    """Whether ``short`` is a near copy of ``long`` that stops inside one of its words or sentences."""
+    """Whether ``short`` is a near copy of a beginning of ``long`` that stops inside one of its words or sentences.
+
+    The last word of ``short`` may be broken, so its shingles are those of the words before.
+    """
+    last = short.rfind(" ") + 1
+    if long.startswith(short[:last]) and not long.startswith(short.rstrip(" .,;:…\\�"), 0):
+        return False  # word for word, and then another word
     x, y = winnow.words(short), winnow.words(long)
-    sx, sy = ({tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)} for w in (x, y))
-    if not sx or len(sx & sy) < SIMILAR * len(sx | sy):
+    more = len(y)
+    y = y[: 2 * len(x) + SHINGLE]  # where a beginning of so many like words can end
+    whole = {tuple(y[i : i + SHINGLE]) for i in range(len(y) - SHINGLE + 1)}
+    sx = [tuple(x[i : i + SHINGLE]) for i in range(len(x) - SHINGLE)]
+    if not sx or sum(s in whole for s in sx) < SIMILAR * len(sx):
         return False
-    hx, hy = (np.array([winnow.word_hash(w) for w in ws], np.uint64) for ws in (x, y))
-    _, a0, a1, b0, b1 = winnow.best_local(hx, hy)
-    if len(x) - a1 > 1 or b1 >= len(y):
+    same = 0
+    while same < min(len(x), len(y)) and x[same] == y[same]:
+        same += 1
+    if same >= len(x) - 1:  # word for word
+        a1 = b1 = same
+    elif (at := _find(y, x[-4:-1], len(x) - 4)) >= 0:  # the words before the last tell where it ends
+        a1 = len(x) - 1
+        b1 = at + 3
+        if b1 < len(y) and x[-1] == y[b1]:
+            a1, b1 = a1 + 1, b1 + 1
+    elif x[-2] not in y and x[-1] not in y:
+        return False  # an alignment ends with equal words
+    else:
+        hx, hy = (np.array([winnow.word_hash(w) for w in ws], np.uint64) for ws in (x, y))
+        _, _, a1, _, b1 = winnow.best_local(hx, hy)
+    if len(x) - a1 > 1 or b1 >= more:
         return False  # more than a broken word is left of the shorter, or nothing of the longer
     if a1 == len(x) - 1:
-        return y[b1].startswith(x[-1]) and y[b1] != x[-1]  # ends in a word of the longer
+        return b1 < len(y) and y[b1].startswith(x[-1]) and y[b1] != x[-1]  # ends in a word of the longer
     toks = _tokens(long)
     seen = -1
     for i, t in enumerate(toks):
