@@ -393,38 +393,57 @@ def near_copies(texts: DataFrame) -> DataFrame:
     a = rng.integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
     b0 = rng.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64)
     lengths = np.array(BEGINNINGS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = winnow.Hasher()
-        for b in batches:
-            first = 0
-            for ts in _chunks([t or "" for t in b.column("t").to_pylist()]):
-                words = [winnow.words(t) for t in ts]
-                at, kind, n, sig, bits, mine = _beginnings(words, h, a, b0)
-                k = np.zeros((len(at), BANDS), np.uint64)
-                for c in range(ROWS):
-                    k = (k ^ sig[:, c::ROWS]) * _B
-                k ^= np.arange(BANDS, dtype=np.uint64) + (kind.astype(np.uint64) << np.uint64(8))[:, None]
-                opens = b.column("open").to_numpy(zero_copy_only=False).astype(bool)
-                asks = opens[at + first] & (n > lengths[kind]) & ((kind + 1 == len(lengths)) | (n <= lengths[np.minimum(kind + 1, len(lengths) - 1)]))
-                take = pa.array(np.repeat(at + first, BANDS))
-                x, size, key = _short_keys(words, h)
-                total = np.array([len(ws) for ws in words], np.int32)[x]
-                take_x = pa.array(x + first)
-                none = pa.array(np.zeros(len(x), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), b.column("id").take(take_x), pa.array(opens[x + first] & (total == size + 1)), pa.array(total), none, none, none, none], names=["key", "id", "asks", "n", "bits0", "bits1", "mine0", "mine1"])
-                first += len(ts)
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel().astype(np.int64)), b.column("id").take(take), pa.array(np.repeat(asks, BANDS)), pa.array(np.repeat(n, BANDS).astype(np.int32)), *(pa.array(np.repeat(x, BANDS)) for x in (*bits, *np.where(asks, mine, 0)))], names=["key", "id", "asks", "n", "bits0", "bits1", "mine0", "mine1"])
-
-    texts = materialize(texts.select(F.xxhash64("t").alias("id"), "t", "open"))  # read three times
-    bands = materialize(texts.mapInArrow(run, "key bigint, id bigint, asks boolean, n int, bits0 bigint, bits1 bigint, mine0 bigint, mine1 bigint"))
-    sizes = bands.groupBy("key").agg(F.count("*").alias("size"), F.count_if("asks").alias("opens")).filter("opens > 0 AND size > 1").select("key", (F.floor(F.col("opens") / BLOCK).cast("int") + 1).alias("blocks"))
-    dealt = bands.join(sizes, "key")
-    a_side = dealt.filter("asks").select("key", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "id", "n", "mine0", "mine1")
-    b_side = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("longer"), F.col("n").alias("m"), "bits0", "bits1")
+    texts = materialize(texts.select(F.xxhash64("t").alias("id"), "t", "open"))  # read four times
+
+    def rows(ts: list[str], h: winnow.Hasher) -> Iterator[tuple[np.ndarray, ...]]:
+        """Text, key, words, whether a text of these words asks by it, bits and own bits."""
+        words = [winnow.words(t) for t in ts]
+        at, kind, n, sig, bits, mine = _beginnings(words, h, a, b0)
+        k = np.zeros((len(at), BANDS), np.uint64)
+        for c in range(ROWS):
+            k = (k ^ sig[:, c::ROWS]) * _B
+        k ^= np.arange(BANDS, dtype=np.uint64) + (kind.astype(np.uint64) << np.uint64(8))[:, None]
+        asks = (n > lengths[kind]) & ((kind + 1 == len(lengths)) | (n <= lengths[np.minimum(kind + 1, len(lengths) - 1)]))
+        wide = lambda x: np.repeat(x, BANDS, axis=-1)
+        yield wide(at), k.ravel(), wide(n), wide(asks), wide(bits), wide(mine)
+        x, size, key = _short_keys(words, h)
+        n = np.array([len(ws) for ws in words], np.int64)[x]
+        none = np.zeros((2, len(x)), np.int64)
+        yield x, key, n, n == size + 1, none, none
+
+    def reader(seen=None):
+        """Rows of open texts that ask, or, given the bits of their keys, the rows of all texts that may be asked for."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            h = winnow.Hasher()
+            table = None if seen is None else seen.value
+            for b in batches:
+                first = 0
+                for ts in _chunks([t or "" for t in b.column("t").to_pylist()]):
+                    for at, key, n, asks, bits, mine in rows(ts, h):
+                        keep = np.flatnonzero(asks if table is None else (table[key >> np.uint64(44)] >> ((key >> np.uint64(38)) & np.uint64(63))) & np.uint64(1))
+                        cols = [pa.array(key[keep].astype(np.int64)), b.column("id").take(pa.array(at[keep] + first)), pa.array(n[keep].astype(np.int32)), *(pa.array(x[keep]) for x in (mine if table is None else bits))]
+                        yield pa.RecordBatch.from_arrays(cols, names=["key", "id", "n", "bits0", "bits1"])
+                    first += len(ts)
+
+        return run
+
+    ddl = "key bigint, id bigint, n int, bits0 bigint, bits1 bigint"
+    asks = materialize(texts.filter("open").mapInArrow(reader(), ddl))
+    # the leading 26 bits of the keys that are asked for, in 2^20 words of 64: at most 16 MB reach the driver
+    words = asks.selectExpr("shiftrightunsigned(key, 44) AS w", "shiftleft(1L, CAST(shiftrightunsigned(key, 38) & 63 AS INT)) AS b")
+    table = np.zeros(1 << 20, np.uint64)
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table[got.column("w").to_numpy()] = got.column("b").to_numpy().astype(np.uint64)
+    held = texts.mapInArrow(reader(texts.sparkSession.sparkContext.broadcast(table)), ddl)
+    sizes = asks.groupBy("key").agg((F.floor(F.count("*") / BLOCK).cast("int") + 1).alias("blocks"))
+    a_side = asks.join(sizes, "key").select("key", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "id", "n", F.col("bits0").alias("mine0"), F.col("bits1").alias("mine1"))
+    b_side = held.join(sizes, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("longer"), F.col("n").alias("m"), "bits0", "bits1")
     # a bit that the longer lacks is a shingle that it lacks
     lacks = sum((F.bit_count(F.col(f"mine{i}").bitwiseAND(F.bitwise_not(f"bits{i}"))) for i in (0, 1)), F.lit(0))
-    may = (F.col("m") >= F.col("n")) & (F.col("id") != F.col("longer")) & (lacks <= F.lit(1 - SIMILAR) * (F.col("n") - SHINGLE) + F.lit(1e-9))
+    may = lacks <= F.lit(1 - SIMILAR) * (F.col("n") - SHINGLE) + F.lit(1e-9)
+    # the short ones are equal word for word
+    may = (F.col("m") >= F.col("n")) & (F.col("id") != F.col("longer")) & ((F.col("n") <= SHORT[-1] + 1) | may)
     pairs = a_side.join(b_side, ["key", "block"]).filter(may).select("id", "longer").distinct()
     # a fixed number of partitions: the pairs are small beside the work they make
     parts = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
