@@ -52,7 +52,7 @@ _REFUSAL = re.compile(
         rf"\bas an? (?:ai|assistant|language model)\b|\bwithout access to (?:the|this|that|any) {_MEDIUM}",
         rf"\b{_MEDIUM}\b[^.;!?]{{0,20}}(?:do(?:es)?(?: not|n['’]t)|can(?:not|['’]t)|fails? to)\s+(?:\w+\s+){{0,2}}?(?:give|allow|let|show|contain|provide|include|suffice|load|open|play|support|help|tell)\b",
         rf"\bnone of (?:the|these|those) (?:\w+ )?{_MEDIUM}[^.;!?]{{0,20}}\b(?:let|allow|show|give|help|tell|suffice)",
-        rf"\b(?:not|n['’]t) (?:have |see )?(?:enough|sufficient) {_MEDIUM}|\b(?:insufficient|too little) {_MEDIUM}",
+        rf"(?:\bnot|n['’]t) (?:have |see )?(?:enough|sufficient) {_MEDIUM}|\b(?:insufficient|too little) {_MEDIUM}",
         # German
         r"\b(?:kann|können|könnte|möchte|darf|will|vermag)\b[^.;!?]{0,70}\b(?:nicht|keine?n?)\b[^.;!?]{0,25}(?:beantworten|sagen|beurteilen|entscheiden|bestimmen|antworten|feststellen|wählen|aussage|antwort|angabe|treffen|machen)",
         r"\b(?:frage|antwort|das|dies|es)\b[^.;!?,]{0,15}\b(?:lässt|lassen) sich\b[^.;!?]{0,40}\bnicht\b[^.;!?]{0,20}(?:sagen|beantworten|bestimmen|entscheiden|beurteilen)",

@@ -137,6 +137,17 @@ def test_neighbours_across_ranges(spark):
     assert {r.t for r in defects.neighbour_copies(t).collect()} == set(short)
 
 
+def classifier():
+    global MODEL
+    if MODEL is None:
+        pairs = [(para(x), x) for x in list(TEXT) * 40]
+        MODEL = language.fit([t for t, _ in pairs], [x for _, x in pairs])
+    return MODEL
+
+
+MODEL = None
+
+
 def test_defect_rules(spark):
     q = {"e": "Which way does the silver wagon go after the pause near the gate?", "d": "In welche Richtung bewegt sich der Wagen nach der Pause vor dem Fenster?"}
     items = spark.createDataFrame([("e", q["e"], ["to the left", None, "to the right"], 1), ("e", q["e"].lower(), None, 2), ("d", q["d"], ["nach links"], 3), (None, None, None, 4)], "item_id string, question string, candidates array<string>, result_id int")
@@ -149,10 +160,10 @@ def test_defect_rules(spark):
         (16, "nowhere", "Le wagon se trouve devant la porte.", None), (17, None, "", "empty"), (None, "e", "", "empty"),
     ]
     d = results(spark, [(i, "s", k, t, None) for i, k, t, _ in cases] + [(1, "s", "e", None, None)])
-    got = sorted(((r.result_id, r.defect) for r in defects.find_defects(d, items).collect()), key=str)
+    got = sorted(((r.result_id, r.defect) for r in defects.find_defects(d, items, classifier()).collect()), key=str)
     assert got == sorted(((i, x) for i, _, _, x in cases if x), key=str)
-    assert defects.find_defects(d.limit(0), items).count() == 0
-    assert {r.defect for r in defects.find_defects(d, items.limit(0)).collect()} == {"empty", "refusal"}
+    assert defects.find_defects(d.limit(0), items, classifier()).count() == 0
+    assert {r.defect for r in defects.find_defects(d, items.limit(0), classifier()).collect()} == {"empty", "refusal"}
 
 
 def test_refusals_that_speak_of_options():
@@ -162,6 +173,47 @@ def test_refusals_that_speak_of_options():
         assert defects.judge(t)[0] == "letter", t
 
 
+def test_refusals_need_a_speaker_or_what_was_shown():
+    for t in (
+        "I'm sorry, I cannot answer a question about this video.", "I refuse to choose a letter.", "The clip does not load, nothing can be said.", "We would rather not guess here.", "There isn't enough information to go by.", "It is impossible to say from this excerpt.",
+        "Anhand des Videos kann ich das nicht beurteilen.", "Ich möchte dazu keine Angabe machen.", "Das Video zeigt leider zu wenig.", "Je ne saurais trancher à partir de cet extrait.", "Cette vidéo ne permet pas de conclure.", "No sabría elegir entre ellas.", "Este fragmento no muestra lo necesario.",
+    ):
+        assert defects.judge(t)[0] == "refusal", t
+    for t in (
+        "The man cannot open the door because it is locked.", "She will not sit down until the dog leaves.", "None of the cups move.", "Leider fällt der Ball vom Tisch.", "The juggler is unable to lift the crate, so it stays.", "Unfortunately the vase falls off the shelf.", "Ob das Rad wirklich im Hof war, lässt sich am Anfang nicht sagen.", "Il ne peut pas ouvrir la porte.", "El niño no puede abrir la caja.",
+    ):
+        assert defects.judge(t)[0] == "other", t
+
+
+def test_languages_of_answers():
+    m = classifier()
+    assert defects.languages([para("de"), para("en"), None, "12 %", "", para("fr")], m) == ["de", "en", None, None, None, "fr"]
+
+
+def test_copies_cut_anywhere_are_found(spark):
+    rows, cut = [], set()
+    for i in range(300):
+        ws = [R.choice(NOUNS) for _ in range(R.randint(24, 70))]
+        full = " ".join(ws) + "."
+        t = full[: int(len(full) * R.uniform(0.3, 0.9))].rstrip()
+        w = t.split(" ")
+        if i % 2 and len(w) > 32:
+            w[R.randrange(len(w) - 2)] = "changed"
+        t = " ".join(w)
+        rows += [(full, False), (t, True)]
+        cut.add(t)
+    t = spark.createDataFrame(rows, "t string, open boolean")
+    got = {r.t for r in truncation.near_copies(t).collect()}
+    assert len(got & cut) >= 0.95 * len(cut) and not got - cut
+
+
+def test_neighbours_that_go_on_otherwise(spark):
+    t = "Nobody touches the wagon"
+    rows = [(t, True), (t + "! Then it stops.", False), (t + " Bertram stops.", False), (t + " near the gate.", False)]
+    d = spark.createDataFrame(rows, "t string, open boolean")
+    assert [r.t for r in defects.neighbour_copies(d).collect()] == [t]
+
+
 # ---- overlap of splits
 
 def test_items_and_sessions(spark):
@@ -207,6 +259,47 @@ def test_light_variants_of_one_item_all_meet(spark):
     assert got == {(a, b) for lo, n in ((0, 64), (100, 60)) for a in range(lo, lo + n) for b in range(a + 1, lo + n) if (a - b) % 2}
 
 
+def test_short_questions_and_far_fingerprints(spark):
+    o = ["Near the gate", "Behind the narrow fence"]
+    rows = [(1, "train", "Who wins?", None), (2, "dev", "who wins", []), (3, "dev", "Who loses?", None), (4, "train", "Where?", o), (5, "test", "where", o[::-1])]
+    words = [f"{x}ton" for x in "abcdefghijklmnopqrstu"]
+    far = list(words)
+    far[6:14] = [f"{w}xx" for w in far[6:14]]
+    rows += [(6, "train", " ".join(words), o), (7, "dev", " ".join(far), o)]
+    d = spark.createDataFrame(rows, "record_id bigint, split string, question string, candidates array<string>")
+    assert {(r.key_a, r.key_b) for r in overlap.same_items(d).collect()} == {(1, 2), (4, 5), (6, 7)}
+
+
+def test_seeds_are_chained_and_extended():
+    h = winnow.Hasher()
+    a = [f"w{i}" for i in range(200)]
+    b = a[:50] + ["x", "y"] + a[60:120] + a[121:]
+    assert overlap.extended(a, b, h) == 189
+    assert overlap.extended(a, a, h) == 200 and overlap.extended(a, [], h) == 0 and overlap.extended(a, NOUNS[:20], h) == 0
+
+
+def test_hot_words_are_refined_level_by_level(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "COMMON", 2)
+    monkeypatch.setattr(overlap, "BLOCK", 4)
+    q = "Which of these people moves the box at the beginning?"
+    rows = []
+    for i in range(40):
+        o = [f"the {NOUNS[i % 8]} and the {NOUNS[8 + i % 5]} roll", f"only the {NOUNS[16 + i]} stays"]
+        rows += [(2 * i, "train", q, o), (2 * i + 1, "dev", q, [o[1], o[0].replace("roll", "rolls")])]
+    d = spark.createDataFrame(rows, "record_id bigint, split string, question string, candidates array<string>")
+    got = {(r.key_a, r.key_b) for r in overlap.same_items(d).collect()}
+    import itertools
+
+    h = winnow.Hasher()
+    bag = lambda o: {w for x in o for w in winnow.words(x)}
+    want = set()
+    for x, y in itertools.product([r for r in rows if r[1] == "train"], [r for r in rows if r[1] == "dev"]):
+        c = overlap.coverage(x[2], x[3], y[2], y[3], h)
+        if len(bag(x[3]) & bag(y[3])) >= overlap.SHARED[1] * max(len(bag(x[3])), len(bag(y[3]))) and c[0] >= overlap.QUESTION and c[1] >= overlap.OPTIONS:
+            want.add((min(x[0], y[0]), max(x[0], y[0])))
+    assert got == want and len(want) >= 40
+
+
 # ---- language
 
 TEXT = {
@@ -248,3 +341,17 @@ def test_label_names(spark):
     d = spark.createDataFrame([(k,) for k in labels] + [(None,)], "l string")
     got = {r.l: r.n for r in d.select("l", language.named_language(d.l).alias("n")).collect()}
     assert got == labels | {None: None}
+
+
+def test_weights_are_sparse_and_confidence_is_calibrated():
+    short = lambda x: " ".join(para(x).split()[: R.randint(2, 6)])
+    rows = []
+    for i in range(400):
+        x = list(TEXT)[i % 8]
+        label = R.choice(list(TEXT)) if R.random() < 0.1 else x  # labels are wrong by document
+        rows += [(short(x), label, i) for _ in range(3)]
+    m = language.fit(*zip(*rows))
+    seen = (m.table != 0).any(axis=1)
+    assert (m.table != 0)[seen].mean() < 0.85
+    fresh = [(short(x), x) for x in list(TEXT) * 60]
+    assert language.calibration_error(m, [t for t, _ in fresh], [x for _, x in fresh]) < 0.1
