@@ -112,3 +112,37 @@ def snippet(text: Column, length: int = 280) -> Column:
 def digest(*parts: Column, length: int = 24) -> Column:
     """Leading hex digits of the SHA-256 of parts joined by ``|``."""
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, length)
+
+
+#: Marks of a basin attractor.
+PATHOLOGICAL = ("addCriterion", "自动")
+
+
+def pathological(text: Column) -> Column:
+    """Whether a text holds one of the ``PATHOLOGICAL`` marks; false for null."""
+    t = F.coalesce(text, F.lit(""))
+    m = F.lit(False)
+    for s in PATHOLOGICAL:
+        m = m | F.contains(t, F.lit(s))
+    return m
+
+
+def normalised_letter(v: Column) -> Column:
+    """The letter of a raw choice (a variant): 0 to 25 and their digits by place, a letter in upper case; null for booleans and the rest."""
+    kind = F.schema_of_variant(v)
+    number = F.try_variant_get(v, "$", "bigint")
+    text = F.trim(F.try_variant_get(v, "$", "string"))
+    digits = text.try_cast("int")
+    at = lambda i: F.when(i.between(0, 25), F.char(i + 65))
+    return F.when(kind == "BIGINT", at(number)).when(kind == "STRING", F.when(text.rlike("^[A-Za-z]$"), F.upper(text)).when(text.rlike("^[0-9]{1,2}$"), at(digits)))
+
+
+def drift_class(reuse: Column, invalidated: Column) -> Column:
+    """Which of two drift flags is set; null counts as not."""
+    a, b = F.coalesce(reuse, F.lit(False)), F.coalesce(invalidated, F.lit(False))
+    return F.when(a & b, "shared_drift").when(a, "reuse_only_drift").when(b, "invalidated_only_drift").otherwise("stable")
+
+
+def outcome(delta: Column, format_ok: Column) -> Column:
+    """A label by the bands of an accuracy delta, the format first."""
+    return F.when(~format_ok, "format_invalid").when(delta >= -0.05, "low_fps_competitive").when(delta <= -0.10, "low_fps_rejected").otherwise("ambiguous")

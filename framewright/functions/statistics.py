@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -190,31 +191,46 @@ def kappa(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     return j.select(*keys, F.when(e >= 1, 1.0).otherwise((o - e) / (1 - e)).alias("kappa"))
 
 
-def bootstrap(df: DataFrame, keys: Sequence[str], cluster: str, value: str, replicates: int, seed: int = 20260427, low: float = 0.025, high: float = 0.975) -> DataFrame:
+def _poisson(replicates: int, seed: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Poisson(1) weights (clusters x replicates) from the hashes of clusters."""
+    # inverse of the distribution, cut where 1e-8 of it is left
+    steps, term = [], 0.36787944117144233
+    for k in range(1, 12):
+        steps.append((steps[-1] if steps else 0.0) + term)
+        term /= k
+    cum = np.array(steps)
+
+    # one hash of (replicate, seed) mixed with that of the cluster: splitmix64
+    def mix(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    draw = mix((np.arange(1, replicates + 1, dtype=np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15))
+
+    def weights(h: np.ndarray) -> np.ndarray:
+        u = (mix(h[:, None] ^ draw[None, :]) >> np.uint64(11)) / float(1 << 53)
+        return np.searchsorted(cum, u, side="right").astype(float)
+
+    return weights
+
+
+def bootstrap(df: DataFrame, keys: Sequence[str], cluster: str, value: str, replicates: int, seed: int = 20260427, low: float = 0.025, high: float = 0.975, rule: str = "B") -> DataFrame:
     """Percentile interval of a mean over resampled clusters: ``keys, mean, low, high``.
 
+    For a paired difference ``value`` is the difference of each pair.
+
     Clusters are drawn by Poisson(1) weights from a hash of (seed, replicate,
     cluster): the distributed form of drawing with replacement, with no draw
     table.  A partition adds its clusters up per group and replicate in arrays, so
-    it sends one row per group and replicate.  The index rule is
-    ``int(p * (replicates - 1))``.
+    it sends one row per group and replicate.  The index rule ``B`` is
+    ``int(p * (replicates - 1))``, ``A`` is ``int(low * replicates)`` and
+    ``int(high * replicates) - 1``.
     """
     c = df.filter(F.col(value).isNotNull()).groupBy(*keys, cluster).agg(F.sum(F.col(value).cast("double")).alias("_s"), F.count("*").alias("_c"))
-    # inverse of the Poisson distribution, cut where 1e-8 of it is left
-    steps, term = [], 0.36787944117144233
-    for k in range(1, 12):
-        steps.append((steps[-1] if steps else 0.0) + term)
-        term /= k
-    cum = np.array(steps)
+    weights = _poisson(replicates, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # one hash of (replicate, seed) mixed with that of the cluster: splitmix64
-        def mix(x: np.ndarray) -> np.ndarray:
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            return x ^ (x >> np.uint64(31))
-
-        draw = mix((np.arange(1, replicates + 1, dtype=np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15))
         total: dict[int, np.ndarray] = {}
         for b in batches:
             g, h = b.column("_g").to_numpy(), b.column("_h").to_numpy().astype(np.uint64)
@@ -224,8 +240,7 @@ def bootstrap(df: DataFrame, keys: Sequence[str], cluster: str, value: str, repl
                 acc = total.setdefault(int(k), np.zeros((2, replicates)))
                 for x in range(0, len(at), 256):
                     part = at[x : x + 256]
-                    u = (mix(h[part][:, None] ^ draw[None, :]) >> np.uint64(11)) / float(1 << 53)
-                    acc += both[:, part] @ np.searchsorted(cum, u, side="right").astype(float)
+                    acc += both[:, part] @ weights(h[part])
         for k, (x, n) in total.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(replicates, k), pa.int64()), pa.array(np.arange(1, replicates + 1), pa.int32()), pa.array(x), pa.array(n)], names=["_g", "_r", "_x", "_n"])
 
@@ -234,11 +249,90 @@ def bootstrap(df: DataFrame, keys: Sequence[str], cluster: str, value: str, repl
     c = c.withColumn("_g", group)
     parts = c.select("_g", F.xxhash64(F.lit(seed), *keys, cluster).alias("_h"), "_s", F.col("_c").cast("double").alias("_c")).mapInArrow(run, "_g bigint, _r int, _x double, _n double")
     sums = parts.groupBy("_g", "_r").agg((F.sum("_x") / F.nullif(F.sum("_n"), F.lit(0.0))).alias("_m"))
-    ci = index_percentile(sums, ["_g"], "_m", {"low": low, "high": high})
+    if rule == "A":
+        ci = select_ranks(sums, ["_g"], "_m", {"low": lambda n: F.floor(F.lit(low) * n), "high": lambda n: F.floor(F.lit(high) * n) - 1})
+    else:
+        ci = index_percentile(sums, ["_g"], "_m", {"low": low, "high": high})
     point = c.groupBy("_g", *keys).agg((F.sum("_s") / F.sum("_c")).alias("mean"))
     return point.join(ci, "_g").drop("_g")
 
 
+#: Cells of ``cell`` that one task of ``bootstrap_auc`` takes.
+AUC_CELLS = 16
+
+
+def bootstrap_auc(df: DataFrame, keys: Sequence[str], cluster: str, score: str, label: str, replicates: int, seed: int = 20260427, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """Percentile interval of an AUC over resampled clusters: ``keys, auc, low, high``.
+
+    Clusters have the weights of ``bootstrap``.  Scores are taken cell by cell: a
+    cell gives, per replicate, the weights of both labels and the pairs in order
+    within it; the cells of a group, at most some thousand, add up in order.
+    Replicates without one of the labels do not count.  The index rule is
+    ``int(p * (n - 1))``.  The point value has weight 1 for every row.
+    """
+    d = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).select(*keys, F.floor(cell(F.col(score)) / AUC_CELLS).alias("_cell"), F.xxhash64(F.lit(seed), *keys, cluster).alias("_h"), F.col(score).cast("double").alias("_s"), (F.col(label) == 1).alias("_y"))
+    d = d.withColumn("_g", F.xxhash64(*[F.col(k) for k in keys], F.lit(0)))
+    weights = _poisson(replicates, seed)
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_s", kind="stable")
+        y, s, h = pdf["_y"].to_numpy(bool), pdf["_s"].to_numpy(), pdf["_h"].to_numpy().astype(np.uint64)
+        pos, neg, won = (np.zeros(replicates + 1) for _ in range(3))
+        tie_pos, tie_neg, last = np.zeros(replicates + 1), np.zeros(replicates + 1), None
+        below = np.zeros(replicates + 1)
+        for x in range(0, len(s), 512):
+            w = np.concatenate([np.ones((len(s[x : x + 512]), 1)), weights(h[x : x + 512])], axis=1)
+            for k in range(len(w)):
+                if s[x + k] != last:
+                    won += tie_pos * (below + tie_neg / 2)
+                    below, last = below + tie_neg, s[x + k]
+                    tie_pos, tie_neg = np.zeros(replicates + 1), np.zeros(replicates + 1)
+                if y[x + k]:
+                    tie_pos = tie_pos + w[k]
+                    pos += w[k]
+                else:
+                    tie_neg = tie_neg + w[k]
+                    neg += w[k]
+        won += tie_pos * (below + tie_neg / 2)
+        return pd.DataFrame({"_g": [pdf["_g"].iloc[0]], "_cell": [pdf["_cell"].iloc[0]], "_p": [pos], "_n": [neg], "_w": [won]})
+
+    cells = d.select("_g", "_cell", "_h", "_s", "_y").groupBy("_g", "_cell").applyInPandas(within, "_g bigint, _cell bigint, _p array<double>, _n array<double>, _w array<double>")
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        below, pos, won = 0.0, 0.0, 0.0
+        for p, n, w in zip(*(pdf.sort_values("_cell")[c] for c in ("_p", "_n", "_w"))):
+            won, below, pos = won + np.asarray(w) + np.asarray(p) * below, below + np.asarray(n), pos + np.asarray(p)
+        pairs = np.asarray(pos * below)
+        auc = np.divide(won, pairs, out=np.full(len(pairs), np.nan), where=pairs > 0)
+        drawn = np.sort(auc[1:][np.isfinite(auc[1:])])
+        at = lambda p: float(drawn[int(p * (len(drawn) - 1))]) if len(drawn) else None
+        return pd.DataFrame({"_g": [pdf["_g"].iloc[0]], "auc": [auc[0] if np.isfinite(auc[0]) else None], "low": [at(low)], "high": [at(high)]})
+
+    got = cells.groupBy("_g").applyInPandas(total, "_g bigint, auc double, low double, high double")
+    return d.select("_g", *keys).distinct().join(got, "_g").drop("_g")
+
+
+def excess(c: Column, limit: float) -> Column:
+    """How far a value is above a limit, 0 below it."""
+    return F.greatest(F.lit(0.0), c - limit)
+
+
+def piecewise(c: Column, pieces: Sequence[tuple[Column, Column]], otherwise: Column) -> Column:
+    """The value of the first piece whose condition holds; null where ``c`` is null."""
+    out = F.when(c.isNull(), F.lit(None).cast("double"))
+    for condition, value in pieces:
+        out = out.when(condition, value)
+    return out.otherwise(otherwise)
+
+
+def linear(terms: Sequence[tuple[float, Column]]) -> Column:
+    """A weighted sum of columns; null if one is null."""
+    total = F.lit(0.0)
+    for weight, c in terms:
+        total = total + weight * c
+    return total
+
+
 def softmax_entropy(logits: Column, floor: float = 1e-12) -> Column:
     """Natural entropy of the softmax of an array."""
     top = F.array_max(logits)

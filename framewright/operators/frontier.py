@@ -159,49 +159,114 @@ def evaluate_policies(pairs: DataFrame, policies: dict[str, Column], queries: in
     return g.select("*", nq.alias("n_queries"), acc.alias("delta"), x.alias("speedup"), ((F.abs(acc) <= delta) & (x >= speedup)).alias("passes"), ((acc >= rescue) & (x >= speedup)).alias("rescues"))
 
 
+#: Sums that a point of the frontier carries along its chosen arms, after its slack.
+TOTALS = ("stream_ms", "cold_ms", "n_dense", "parse_failures", "degenerates")
+#: Sessions folded in one part, and parts joined in one task.
+PART, FAN = 400, 8
+
+
+class _Frontier:
+    """Greatest slack per change of correct answers, with the totals of the arms that give it; changes from ``low`` on."""
+
+    def __init__(self, low: int, table: np.ndarray):
+        self.low, self.table = low, table  # rows: changes; columns: slack and totals
+
+    @classmethod
+    def of(cls, options: Sequence[tuple[int, Sequence[float]]]) -> _Frontier:
+        """One choice; of options with the same change and slack the first stays."""
+        low, high = min(d for d, _ in options), max(d for d, _ in options)
+        table = np.full((high - low + 1, 1 + len(TOTALS)), -np.inf)
+        for d, row in options:
+            if row[0] > table[d - low, 0]:
+                table[d - low] = row
+        return cls(low, table)
+
+    def plus(self, other: _Frontier) -> _Frontier:
+        """Max-plus convolution: both choices made."""
+        a, b = (self, other) if len(self.table) >= len(other.table) else (other, self)
+        out = np.full((len(a.table) + len(b.table) - 1, a.table.shape[1]), -np.inf)
+        for i, row in enumerate(b.table):
+            if row[0] == -np.inf:
+                continue
+            view = out[i : i + len(a.table)]
+            better = a.table[:, 0] + row[0] > view[:, 0]
+            view[better] = a.table[better] + row
+        return _Frontier(a.low + b.low, out)
+
+    def frame(self, keys: dict) -> pd.DataFrame:
+        at = np.flatnonzero(self.table[:, 0] > -np.inf)
+        pdf = pd.DataFrame({"delta": at + self.low, "slack": self.table[at, 0]})
+        for i, c in enumerate(TOTALS):
+            pdf[c] = self.table[at, i + 1]
+        return pdf.assign(**keys)[[*keys, "delta", "slack", *TOTALS]]
+
+
 def admission_frontier(pairs: DataFrame, target: float = 3.0, by: Sequence[str] = ("split",)) -> DataFrame:
-    """Greatest time slack for every reachable change of correct answers: ``by, delta, slack``.
+    """Greatest time slack for every reachable change of correct answers: ``by, delta, slack`` and ``TOTALS``.
 
     For each session one arm is taken; the slack of an arm is cold time minus
-    ``target`` times stream time, its delta stream minus cold correct.  Groups
-    fold exactly: partial frontiers (delta -> slack) of parts combine by max-plus
-    convolution, whose size is that of the delta range, so parts of any size
-    fold in parallel and then in one step per group of parts.
+    ``target`` times stream time, its delta stream minus cold correct.  The totals
+    are those of the chosen arms.  Groups fold exactly: parts of ``PART`` sessions
+    give partial frontiers, ``FAN`` of which combine at a time by max-plus
+    convolution, whose size is that of the delta range.  Of equal slacks the
+    totals of either may come out.  Sessions with a null in either arm's deltas
+    or times are left out; other nulls count as 0.
     """
-    opt = [F.struct((F.col(f"{a}.stream_correct") - F.col(f"{a}.cold_correct")).cast("int").alias("d"), (F.col(f"{a}.cold_total_ms") - F.lit(float(target)) * F.col(f"{a}.stream_total_ms")).alias("s")) for a in ("pruned", "dense")]
-    rows = pairs.select(*by, F.pmod(F.xxhash64("session_key"), F.lit(64)).cast("int").alias("_part"), opt[0].alias("p"), opt[1].alias("q")).filter("p.d IS NOT NULL AND p.s IS NOT NULL AND q.d IS NOT NULL AND q.s IS NOT NULL")
-    flat = rows.select(*by, "_part", F.col("p.d").alias("pd"), F.col("p.s").alias("ps"), F.col("q.d").alias("qd"), F.col("q.s").alias("qs"))
     keys = list(by)
-    ddl = ", ".join(f"`{k}` {flat.schema[k].dataType.simpleString()}" for k in keys)
-
-    def convolve(a: dict[int, float], b: dict[int, float]) -> dict[int, float]:
-        out: dict[int, float] = {}
-        for x, s in a.items():
-            for y, t in b.items():
-                if (v := s + t) > out.get(x + y, float("-inf")):
-                    out[x + y] = v
-        return out
+    number = lambda a, c: F.coalesce(F.col(f"{a}.{c}").cast("double"), F.lit(0.0))
+    cols = []
+    for a, n in (("pruned", 0), ("dense", 1)):
+        slack = F.col(f"{a}.cold_total_ms") - F.lit(float(target)) * F.col(f"{a}.stream_total_ms")
+        cols += [(F.col(f"{a}.stream_correct") - F.col(f"{a}.cold_correct")).cast("int").alias(f"d{n}"), F.array(slack, F.col(f"{a}.stream_total_ms"), F.col(f"{a}.cold_total_ms"), F.lit(float(n)), number(a, "parse_failures"), number(a, "degenerates")).alias(f"r{n}"), slack.alias(f"s{n}")]
+    flat = pairs.select(*keys, "session_key", *cols).filter("d0 IS NOT NULL AND s0 IS NOT NULL AND d1 IS NOT NULL AND s1 IS NOT NULL").drop("s0", "s1")
+    flat = materialize(flat)
+    parts = max(1, -(-flat.count() // PART))
+    flat = flat.withColumn("_part", F.pmod(F.xxhash64("session_key"), F.lit(parts)).cast("int")).drop("session_key")
+    ddl = ", ".join([*(f"`{k}` {flat.schema[k].dataType.simpleString()}" for k in keys), "_part int, delta int, slack double", *(f"{c} double" for c in TOTALS)])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = {0: 0.0}
-        for r in pdf.itertuples():
-            f = convolve(f, {r.pd: max(r.ps, r.qs)} if r.pd == r.qd else {r.pd: r.ps, r.qd: r.qs})
-        out = pd.DataFrame({"delta": list(f), "slack": list(f.values())})
-        for k in [*keys, "_part"]:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "_part", "delta", "slack"]]
+        f = None
+        for d0, r0, d1, r1 in zip(pdf.d0, pdf.r0, pdf.d1, pdf.r1):
+            one = _Frontier.of([(d0, r0), (d1, r1)])
+            f = one if f is None else f.plus(one)
+        return f.frame({k: pdf[k].iloc[0] for k in [*keys, "_part"]})
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = {0: 0.0}
-        for _, part in pdf.groupby("_part"):
-            f = convolve(f, dict(zip(part.delta, part.slack)))
-        out = pd.DataFrame({"delta": list(f), "slack": list(f.values())})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "delta", "slack"]]
-
-    parts = flat.groupBy(*keys, "_part").applyInPandas(fold, f"{ddl}, _part int, delta int, slack double")
-    return parts.groupBy(*keys).applyInPandas(join, f"{ddl}, delta int, slack double")
+        f = None
+        for _, part in pdf.groupby("_from"):
+            one = _Frontier.of(list(zip(part.delta, part[["slack", *TOTALS]].to_numpy())))
+            f = one if f is None else f.plus(one)
+        return f.frame({k: pdf[k].iloc[0] for k in [*keys, "_part"]})
+
+    out = flat.groupBy(*keys, "_part").applyInPandas(fold, ddl)
+    while parts > 1:
+        parts = -(-parts // FAN)
+        out = out.withColumnRenamed("_part", "_from").withColumn("_part", (F.col("_from") / F.lit(FAN)).cast("int")).groupBy(*keys, "_part").applyInPandas(join, ddl)
+    return out.drop("_part")
+
+
+def frontier_points(frontier: DataFrame, sessions: DataFrame, by: Sequence[str] = ("split",), queries: int = 3) -> DataFrame:
+    """``frontier`` with the accuracy delta, speed-up and pass flags of its points; ``sessions``: ``by, n_sessions``."""
+    f = frontier.alias("f").join(sessions.alias("n"), S._same(list(by), "f", "n")).select("f.*", "n.n_sessions")
+    acc, speed = F.col("delta") / (F.col("n_sessions") * queries), F.when(F.col("stream_ms") > 0, F.col("cold_ms") / F.col("stream_ms"))
+    f = f.withColumns({"accuracy_delta": acc, "speedup": speed, "format_pass": (F.col("parse_failures") == 0) & (F.col("degenerates") == 0)})
+    return f.withColumns({"strict_pass": (F.abs("accuracy_delta") <= 0.05) & (F.col("speedup") >= 3.0), "rescue_pass": (F.col("accuracy_delta") >= -0.10) & (F.col("speedup") >= 3.0)})
+
+
+def best_points(points: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
+    """``by, pick`` and the point that is best under each of six constraints; null where none qualifies.
+
+    Of equal points the one of the lowest change is taken.
+    """
+    picks = {
+        "best_strict": (F.col("strict_pass"), "accuracy_delta"), "best_rescue": (F.col("rescue_pass"), "accuracy_delta"), "best_strict_with_format": (F.col("strict_pass") & F.col("format_pass"), "accuracy_delta"), "best_rescue_with_format": (F.col("rescue_pass") & F.col("format_pass"), "accuracy_delta"),
+        "best_speed_at_or_above_rescue_floor": (F.col("accuracy_delta") >= -0.10, "speedup"), "best_accuracy_at_or_above_3x": (F.col("speedup") >= 3.0, "accuracy_delta"),
+    }
+    row = F.struct("delta", "accuracy_delta", "speedup", "slack", *TOTALS)
+    aggs = [F.max_by(F.when(ok, row), F.when(ok, F.struct(F.col(c), -F.col("delta")))).alias(n) for n, (ok, c) in picks.items()]
+    g = points.groupBy(*by).agg(*aggs)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("pick"), F.col(n).alias("point")) for n in picks]))
+    return g.select(*by, each.alias("x")).select(*by, "x.pick", "x.point.*")
 
 
 def setup_inclusive_speedup(setup: Column, follow: Column, cold: Column, queries: Column) -> Column:

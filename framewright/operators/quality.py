@@ -57,3 +57,9 @@ def json_schema_errors(df: DataFrame, payload: str, keys: Sequence[str], require
     none = F.array(F.struct(F.lit("").alias("field"), F.lit("no object").alias("error")))
     each = F.when(F.coalesce(F.col("_k") == "OBJECT", F.lit(False)), F.array_compact(F.array(*errors))).otherwise(none)
     return d.select(*keys, F.explode(each).alias("_e")).select(*keys, "_e.*")
+
+
+def path_problem(path: Column, roots: Sequence[str]) -> Column:
+    """What is wrong with a source path: missing, absolute, home, generated or of an unknown root; null if nothing."""
+    known = path.rlike("^(" + "|".join(roots) + ")/")
+    return F.when(path.isNull(), "missing").when(path.startswith("/"), "absolute").when(path.startswith("~"), "home").when(path.startswith("results/"), "generated").when(~known, "unknown root")

@@ -391,16 +391,15 @@ def policy_suite(spark, sf):
 
 @query()
 def admission_frontier(spark, sf):
-    """Exact frontier of time slack over the change of correct answers."""
+    """Exact frontier of time slack over the change of correct answers, with the totals of the chosen arms."""
     return FR.admission_frontier(_sessions(spark, sf))
 
 
 @query()
 def frontier_picks(spark, sf):
-    """Best points of the frontier under constraints; null where none qualifies."""
-    f = FR.admission_frontier(_sessions(spark, sf))
-    picks = {"any": F.lit(True), "no_loss": F.col("delta") >= 0, "gain": F.col("delta") > 0, "feasible": F.col("slack") >= 0, "feasible_no_loss": (F.col("slack") >= 0) & (F.col("delta") >= 0), "small_loss": F.col("delta") >= -5}
-    return f.groupBy("split").agg(*[F.max(F.when(c, F.struct("slack", "delta"))).alias(n) for n, c in picks.items()])
+    """Best points of the frontier under six constraints; null where none qualifies."""
+    s = materialize(_sessions(spark, sf))
+    return FR.best_points(FR.frontier_points(FR.admission_frontier(s), s.groupBy("split").agg(F.count("*").alias("n_sessions"))))
 
 
 _DUR = "(SELECT duration, avg(cold_total_ms / 3) AS cold, avg(stream_total_ms / 3) AS follow, avg(cold_total_ms) AS setup FROM session_arms WHERE cold_total_ms IS NOT NULL AND stream_total_ms IS NOT NULL GROUP BY duration)"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tomllib
+import uuid
 from collections.abc import Sequence
 from urllib.parse import urlparse
 
@@ -78,8 +79,40 @@ def append_json_lines(df: DataFrame, path: str) -> None:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """Replaces a JSON folder; the commit protocol makes it whole or absent."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """Replaces a JSON folder: written beside it and renamed, so readers see the old one or the new one whole."""
+    spark = df.sparkSession
+    new = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    df.write.json(new)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(p(path), True)
+    if not fs.rename(p(new), p(path)):
+        raise OSError(f"{new} could not be renamed to {path}")
+
+
+def directory_hash(spark: SparkSession, path: str) -> str:
+    """One SHA-256 of all files of a folder: their relative names and contents, in order of name."""
+    root = f"{spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip('/')}/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    name = F.element_at(F.split("path", F.lit(root), 2), -1)
+    lines = files.select(F.concat_ws("\t", name, F.sha2("content", 256)).alias("line"))
+    return lines.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("h")).first().h  # a line per file
+
+
+def curve_points(docs: DataFrame, payload: str, keep: Sequence[str]) -> DataFrame:
+    """``keep, frame_count, dense_accuracy, ci95_low, ci95_high, n`` of summaries in any of three layouts.
+
+    The points stand in ``runs``, ``dev.dense_curve`` or ``dense_curve``; an
+    accuracy has one of two names, its interval is a pair, two fields or absent (0
+    to 1).  Other documents have no points.
+    """
+    v = F.try_parse_json(payload)
+    where = [F.try_variant_get("_v", at, "array<variant>") for at in ("$.runs", "$.dev.dense_curve", "$.dense_curve")]
+    points = docs.select(*keep, v.alias("_v")).select(*keep, F.explode(F.coalesce(*where)).alias("_r"))
+    number = lambda at: F.try_variant_get("_r", at, "double")
+    given = lambda *names: F.coalesce(*[F.nullif(number(f"$.{n}"), F.lit(0.0)) for n in names], F.lit(0.0))
+    low, high = (F.coalesce(number(f"$.dense_accuracy_ci95[{i}]"), F.when(number("$.ci95_low").isNotNull() & number("$.ci95_high").isNotNull(), number(f"$.{name}")), F.lit(none)) for i, name, none in ((0, "ci95_low", 0.0), (1, "ci95_high", 1.0)))
+    return points.select(*keep, F.try_variant_get("_r", "$.frame_count", "int").alias("frame_count"), given("dense_accuracy", "accuracy").alias("dense_accuracy"), low.alias("ci95_low"), high.alias("ci95_high"), given("count", "n").cast("int").alias("n"))
 
 
 def write_csv(df: DataFrame, path: str, fields: Sequence[str]) -> None:

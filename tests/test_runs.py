@@ -47,7 +47,7 @@ def test_bootstrap_covers_the_mean(spark):
     assert b.low < b["mean"] < b.high and 0.02 < b.high - b.low < 0.08
 
 
-def test_frontier_against_all_choices(spark):
+def test_frontier_against_all_choices(spark, monkeypatch):
     r = random.Random(9)
     rows = []
     arms = []
@@ -55,16 +55,27 @@ def test_frontier_against_all_choices(spark):
         pair = []
         for a in ("pruned_q0", "dense_q0"):
             sc, cc, sm, cm = r.randint(0, 3), r.randint(0, 3), r.uniform(1, 5), r.uniform(5, 20)
-            rows.append((s, a, "short", "dev", sc, cc, r.randint(0, 1), sm, cm, 0, 0, datetime(2031, 1, 1)))
-            pair.append((sc - cc, cm - 3 * sm))
+            pf = r.randint(0, 2)
+            rows.append((s, a, "short", "dev", sc, cc, r.randint(0, 1), sm, cm, pf, 0, datetime(2031, 1, 1)))
+            pair.append((sc - cc, cm - 3 * sm, sm, cm, int(a == "dense_q0"), pf))
         arms.append(pair)
     d = spark.createDataFrame(rows, "session_key int, arm_name string, duration string, split string, stream_correct int, cold_correct int, q0_stream_correct int, stream_total_ms double, cold_total_ms double, parse_failures int, degenerates int, ingested_at timestamp")
-    got = {x.delta: x.slack for x in FR.admission_frontier(FR.session_pairs(d)).collect()}
-    want: dict[int, float] = {}
+    want: dict[int, tuple] = {}
     for choice in itertools.product(*arms):
-        k, v = sum(c[0] for c in choice), sum(c[1] for c in choice)
-        want[k] = max(want.get(k, float("-inf")), v)
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        k, *v = (sum(c[i] for c in choice) for i in range(6))
+        want[k] = max(want.get(k, (float("-inf"),)), tuple(v))
+    for part, fan in ((400, 8), (2, 2)):
+        monkeypatch.setattr(FR, "PART", part)
+        monkeypatch.setattr(FR, "FAN", fan)
+        f = FR.admission_frontier(FR.session_pairs(d))
+        got = {x.delta: (x.slack, x.stream_ms, x.cold_ms, x.n_dense, x.parse_failures) for x in f.collect()}
+        assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k]))
+    points = FR.frontier_points(f, spark.createDataFrame([("dev", 7)], "split string, n_sessions int"))
+    picks = {x.pick: x.delta for x in FR.best_points(points).collect()}
+    ok = [k for k, v in want.items() if abs(k / 21) <= 0.05 and v[2] / v[1] >= 3]
+    assert len(picks) == 6 and picks["best_strict"] == max(ok, default=None)
+    assert picks["best_accuracy_at_or_above_3x"] == max((k for k, v in want.items() if v[2] / v[1] >= 3), default=None)
+    assert FR.admission_frontier(FR.session_pairs(d.limit(0))).count() == 0
 
 
 def test_extract_choice(spark):
