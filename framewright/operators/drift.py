@@ -14,7 +14,6 @@ import math
 from collections.abc import Iterator, Mapping, Sequence
 from itertools import repeat
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -288,17 +287,22 @@ def drift_report(leaves_df: DataFrame, sequence: DataFrame, keys: Sequence[str],
         .filter(F.col("share") >= same)
     )
 
-    def best_first(pdf: pd.DataFrame) -> pd.DataFrame:
-        # the candidate pairs of one file: at most its vanished times its new fields
-        used: set[tuple[int, str]] = set()
-        rows = []
-        for r in pdf.sort_values(["share", "n", "field", "new_field"], ascending=[False, False, True, True], kind="stable").itertuples():
-            if (0, r.field) not in used and (1, r.new_field) not in used:
-                used |= {(0, r.field), (1, r.new_field)}
-                rows.append((r.at, r.field, r.new_field))
-        return pd.DataFrame(rows, columns=["at", "field", "new_field"])
-
-    taken = materialize(pairs.groupBy("at").applyInPandas(best_first, "at string, field string, new_field string"))
+    def best_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the candidate pairs of a file follow each other, the best first; a field is in one pair at most
+        now, used = None, set()
+        for b in batches:
+            keep = []
+            for i, (at, f, g) in enumerate(zip(*(b.column(c).to_pylist() for c in ("at", "field", "new_field")))):
+                if at != now:
+                    now, used = at, set()
+                if (0, f) not in used and (1, g) not in used:
+                    used |= {(0, f), (1, g)}
+                    keep.append(i)
+            take = pa.array(keep, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(c).take(take) for c in ("at", "field", "new_field")], names=["at", "field", "new_field"])
+
+    best = pairs.repartition("at").sortWithinPartitions("at", F.desc("share"), F.desc("n"), "field", "new_field")
+    taken = materialize(best.mapInArrow(best_first, "at string, field string, new_field string"))
     renamed = taken.select(F.col("at").alias("path"), "field", F.lit("renamed").alias("change"), "new_field")
     rest = moved.join(renamed.select("path", "field", F.lit("removed").alias("change")), ["path", "field", "change"], "left_anti").join(renamed.select("path", F.col("new_field").alias("field"), F.lit("added").alias("change")), ["path", "field", "change"], "left_anti")
     return rest.select("path", "field", "change", F.lit("").alias("new_field")).unionByName(renamed).distinct()
