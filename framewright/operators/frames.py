@@ -56,7 +56,9 @@ def channel_mean(channels: Sequence[Column]) -> Column:
 
 
 def block_values(plane: Column, width: int, height: int, block: int) -> Column:
-    """Array (blocks, row-major) of arrays (values of the block); partial blocks are dropped."""
+    """Array (blocks, row-major) of arrays (values of the block); blocks that do not fill the plane are an error."""
+    if width % block or height % block:
+        raise ValueError("the block does not divide the plane")
     cols, rows = width // block, height // block
 
     def values(b: Column) -> Column:

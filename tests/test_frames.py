@@ -107,3 +107,8 @@ def test_farthest_first_against_brute_force(spark):
     while len(want) < 4:
         want.append(max((k for k in x if k not in want), key=lambda k: (min(sum((a - b) ** 2 for a, b in zip(x[k], x[w])) for w in want), -k)))
     assert got == want
+
+
+def test_blocks_must_fill_the_plane():
+    with pytest.raises(ValueError):
+        B.block_values(F.col("plane"), 9, 8, 2)
