@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewright.llm import winnow
-from framewright.storage import materialize
+from framewright.storage import materialize, scratch
 
 #: Contexts tried, the most telling first: words, and how many of the commonest words
 #: stand for themselves, the rest being placeholders.  999 words: the sentence so far.
@@ -526,7 +526,8 @@ def cut_texts(rows: DataFrame, text: str = "text", source: str = "source", token
     scored = materialize(scored)
     lengths = scored.select(F.col(source).alias("source"), F.length(text).alias("chars"), F.octet_length(text).alias("bytes"), (F.col(tokens) if tokens else F.lit(None).cast("int")).alias("tokens"), "p_close").filter("NOT _mark")
     lim = materialize(limits(lengths))
-    copied = copies(rows.select(F.col(text).alias("t")).filter(F.col(text).isNotNull()).distinct().withColumn("open", unterminated(text_of("t"))))
+    with scratch() as keep:
+        copied = keep(materialize(copies(rows.select(F.col(text).alias("t")).filter(F.col(text).isNotNull()).distinct().withColumn("open", unterminated(text_of("t"))))))
     s = scored
     for m, c in (("chars", F.length(text)), ("bytes", F.octet_length(text)), ("tokens", F.col(tokens) if tokens else F.lit(None))):
         at = lim.filter(F.col("measure") == m).select(F.col("source").alias("_src"), F.col("value").alias("_val"), F.lit(True).alias(f"_{m}"))
