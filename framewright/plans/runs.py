@@ -271,7 +271,9 @@ def prefix_letters(spark, sf):
     return r.join(b, "item_id").select("item_id", "text", A.prefix_letter(F.col("text"), F.size("candidates")).alias("prefix"))
 
 
-@query()
+@query(r"""WITH b AS (SELECT item_id, min_by(candidates, record_id) AS c FROM bench_items GROUP BY item_id), t AS (SELECT DISTINCT r.item_id, r.text, c, upper(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS u FROM item_results r JOIN b ON r.item_id = b.item_id WHERE text IS NOT NULL),
+x AS (SELECT item_id, text, CASE WHEN length(u) > 0 AND ascii(u) - 65 BETWEEN 0 AND len(c) - 1 THEN chr(ascii(u)) END AS prefix, list_filter(list_distinct(regexp_extract_all(regexp_replace(regexp_split_to_array(text, '[.!?\n]')[1], '[^A-Za-z0-9_]', '  ', 'g'), '(?:^| )([A-Z])(?: |$)', 1)), lambda l: ascii(l) - 65 < len(c)) AS alone, list_filter(range(0, coalesce(len(c), 0)), lambda i: coalesce(length(c[i + 1]) > 0 AND contains(lower(text), lower(c[i + 1])), false)) AS named, list_distinct(regexp_extract_all(regexp_replace(text, '[^A-Za-z]', '  ', 'g'), '(?:^| )([ABCD])(?: |$)', 1)) AS any_ FROM t)
+SELECT item_id, text, coalesce(prefix, CASE WHEN len(alone) = 1 THEN alone[1] END, CASE WHEN len(named) = 1 THEN chr(CAST(65 + named[1] AS INTEGER)) END) AS choice, CASE WHEN len(any_) = 1 THEN any_[1] END AS permissive FROM x""")
 def extract_choice(spark, sf):
     """The option that a response gives, by prefix, lone letter or words."""
     b = read_table(spark, sf, "bench_items").groupBy("item_id").agg(F.min_by("candidates", "record_id").alias("candidates"))

@@ -126,7 +126,8 @@ def canonical_json(spark, sf):
     return e.select("event_id", F.to_json(F.struct("k", F.col("event_type").alias("type"))).alias("canonical"))
 
 
-@query()
+@query("""WITH o AS (SELECT path, line_no, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM raw_records WHERE payload IS NOT NULL AND length(trim(payload)) > 0), k AS (SELECT o.path, line_no, t.fullkey, t.type FROM o, json_tree(o.j) t WHERE json_type(o.j) = 'OBJECT')
+SELECT path, line_no, replace(substr(fullkey, 3), '"', '') AS field, CASE WHEN type IN ('BIGINT', 'UBIGINT', 'HUGEINT') THEN 'integer' WHEN type = 'NULL' THEN 'null' WHEN type = 'VARCHAR' THEN 'string' ELSE lower(type) END AS type FROM k WHERE type <> 'OBJECT' AND NOT contains(fullkey, '[')""")
 def json_leaves(spark, sf):
     """Every leaf of the JSON lines by dotted name and type, any depth."""
     return drift.rescued_leaves(read_table(spark, sf, "raw_records"), {}, keep=("path", "line_no")).drop("value")
