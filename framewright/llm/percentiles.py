@@ -28,8 +28,9 @@ from framewright.storage import materialize
 CELLS_PER_OCTAVE = 128
 #: Parts into which one pass splits an interval.
 PARTS = 1024
-#: Open intervals up to this many are broadcast (some 100 bytes each); more are joined by shuffle.
+#: Open intervals up to this many are broadcast (some 100 bytes each); more are joined by shuffle, the rows of a group dealt over salts.
 BROADCAST_INTERVALS = 50_000
+SALTS = 16
 
 
 def error_bound() -> float:
@@ -103,13 +104,17 @@ def bisect_percentiles(long: DataFrame, groups: Sequence[str], permille: Sequenc
     state = state.filter("lo < hi")
     while n := state.count():
         on = [F.col(f"x.{c}").eqNullSafe(F.col(f"s.{c}")) for c in g]
+        x, s = long, F.broadcast(state)
+        if n > BROADCAST_INTERVALS:
+            x = long.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+            s = state.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+            on.append(F.col("x._salt") == F.col("s._salt"))
         within = on + [F.col("x.value") >= F.col("s.lo"), F.col("x.value") <= F.col("s.hi")]
         cond = within[0]
         for c in within[1:]:
             cond = cond & c
-        s = (F.broadcast(state) if n <= BROADCAST_INTERVALS else state).alias("s")
         parts = (
-            long.alias("x").join(s, cond)
+            x.alias("x").join(s.alias("s"), cond)
             .groupBy(*[F.col(f"s.{c}").alias(c) for c in g], "permille", "total", "rank", _part(F.col("x.value"), F.col("s.lo"), F.col("s.hi")).alias("part"))
             .agg(F.count("*").alias("n"), F.min("x.value").alias("lo"), F.max("x.value").alias("hi"))
         )

@@ -114,3 +114,12 @@ def test_pack_places_every_text(spark, monkeypatch):
 def test_pack_nothing(spark):
     assert place(spark, [], [(1, "a", 64)]) == []
     assert place(spark, [(1, "x", 0, 0, 0)], []) == []
+
+
+def test_many_intervals_are_joined_over_salts(spark, monkeypatch):
+    monkeypatch.setattr(P, "BROADCAST_INTERVALS", 0)
+    r = random.Random(8)
+    rows = [("hot" if i % 3 else "cold", 1, r.choice([r.lognormvariate(5, 2), 4.5, -2.0]), "x", 1, "m") for i in range(2000)]
+    long = P.to_long(data(spark, rows).select("g", "metric_a"), ["g"], ["metric_a"])
+    got = {(x.g, x.permille): x.value for x in P.bisect_percentiles(long, ["g"], (100, 500, 990)).collect()}
+    assert got == {(g, q): exact([x for h, _, x, *_ in rows if h == g], q) for g in ("hot", "cold") for q in (100, 500, 990)}
