@@ -79,7 +79,8 @@ def setup_amortised(spark, sf):
     return s.filter("k > 0").groupBy("user_id").agg(F.count("*").alias("sessions"), F.round(F.median(F.col("setup") / F.col("k") + F.col("follow")), 6).alias("amortised"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EV}, c AS (SELECT user_id, min(s) AS s FROM ev GROUP BY user_id UNION ALL SELECT user_id, ns FROM (SELECT c.user_id, min(e.s) AS ns FROM c JOIN ev e ON e.user_id = c.user_id AND e.s - c.s >= 21600 GROUP BY c.user_id, c.s) WHERE ns IS NOT NULL), sp AS (SELECT user_id, min(s) AS a, max(s) AS b FROM ev GROUP BY user_id), an AS (SELECT user_id, a + CAST(q AS DOUBLE) * (b - a) AS s FROM sp, (VALUES (0.25), (0.5), (0.75)) v(q))
+SELECT user_id, s, false AS anchor FROM c UNION ALL SELECT user_id, s, true FROM an WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = an.user_id AND abs(an.s - c.s) <= 1)""")
 def greedy_spacing(spark, sf):
     """Events at least six hours after the last chosen one, and three anchors."""
     return selection.greedy_spacing(_events(spark, sf), ["user_id"], "s", 21600.0, anchors=(0.25, 0.5, 0.75), anchor_gap=1.0)
