@@ -95,3 +95,40 @@ def test_consistent_table_loses_no_value(spark):
         seen.add((p, n, text))
         want += sum(v is not None for k, v in drift.leaves(o) if k not in ("item_id", "q_index"))
     assert got == want
+
+
+def test_consistent_table_keeps_labels_off_the_driver(spark, tmp_path, monkeypatch):
+    from framewright.plans import general
+
+    sent = []
+    frame = type(spark.range(1))
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: sent.append(collect(self)) or sent[-1])
+    rows = {}
+    for n in (4, 40):
+        recs, specs = [], []
+        for k in range(n):
+            # old becomes new in every label, but the first never has new
+            specs += [(f"l{k}", f"{k}a", 1, T0, None, "x"), (f"l{k}", f"{k}b", 2, T0, None, "x")]
+            recs += [(f"{k}a", i, json.dumps(rec(i, old=i * 7 + k, t={"u": "w"}))) for i in range(5)]
+            recs += [(f"{k}b", i, json.dumps(rec(i, **{"new" if k else "old": i * 7 + k, "extra": True}))) for i in range(5)]
+        recs.append(("unlisted", 1, json.dumps(rec(1, old=1))))
+        sf = f"{tmp_path}/{n}"
+        spark.createDataFrame(recs, "path string, line_no int, payload string").write.parquet(f"{sf}/raw_records.parquet")
+        spark.createDataFrame(specs, SPECS).write.parquet(f"{sf}/source_specs.parquet")
+        sent.clear()
+        table = general.p1_table(spark, sf)
+        rows[n] = sum(map(len, sent))
+        assert table.columns == ["path", "line_no", "item_id", "q_index", "extra", "old", "t__u", "_rescued"]
+        got = {(r.path, r.line_no): r for r in table.toLocalIterator()}
+        assert len(got) == len(recs)
+        for k in range(n):
+            assert all(got[f"{k}{x}", i].old == i * 7 + k for x in "ab" for i in range(5))
+        assert all(r._rescued == "{}" for p, r in got.items() if p[0] != "unlisted") and json.loads(got["unlisted", 1]._rescued) == {"old": 1}
+    assert rows[4] == rows[40] > 0
+
+
+def test_renames_are_united_by_the_name_of_most_files():
+    files = {"a": 1, "b": 5, "c": 5, "d": 9}
+    assert drift.united([("a", "b"), ("c", "b"), ("x", "d")], files) == {"a": "b", "b": "b", "c": "b", "x": "d", "d": "d"}
+    assert drift.united([], files) == {}

@@ -34,3 +34,11 @@ def test_tables_of_a_step_are_deleted(spark):
         kept = storage._written[-1][1]
     exists = lambda p: os.path.exists(p.removeprefix("file://"))
     assert b.count() == 3 and exists(kept) and not exists(gone)
+
+
+def test_shuffle_files_of_a_written_step_are_deleted(spark):
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv
+    held = lambda: env.get().mapOutputTracker().shuffleStatuses().size()
+    before, was = held(), spark.conf.get(storage.CLEANUP)
+    d = storage.materialize(spark.range(1000).repartition(3, "id"))
+    assert held() <= before and d.count() == 1000 and spark.conf.get(storage.CLEANUP) == was
