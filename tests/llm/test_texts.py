@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from framewright.llm import defects, language, leakage, overlap, truncation, winnow
 
 R = random.Random(12)
@@ -278,6 +280,36 @@ def test_seeds_are_chained_and_extended():
     assert overlap.extended(a, a, h) == 200 and overlap.extended(a, [], h) == 0 and overlap.extended(a, NOUNS[:20], h) == 0
 
 
+def test_records_that_share_a_common_fingerprint_only_meet(spark):
+    h = winnow.Hasher()
+    frame = h["which"], h["way"], h["does"]
+    gram = int(winnow.kgram_hashes(np.array(frame, np.uint64), 3)[0])
+    slip = lambda w: w[:2] + "q" + w[2:]
+    asked = []
+    for i in range(400):
+        ws = [f"{NOUNS[(i * 11 + 5 * k) % 64]}{'abcdefgh'[(i + k) % 8]}{i}" for k in range(12)] + ["which", "way", "does"]
+        if gram in overlap.fingerprints(" ".join(ws), None, h)[0]:
+            asked.append((i, ws))
+    i, ws = next((i, ws) for i, ws in asked if gram in overlap.fingerprints(" ".join(slip(w) if k % 2 and k < 12 else w for k, w in enumerate(ws)), None, h)[0])
+    o = [f"first{i} option{x} tells{i} about{x} something{i}" for x in "abc"]
+    pair = (" ".join(ws), o), (" ".join(slip(w) if k % 2 and k < 12 else w for k, w in enumerate(ws)), [" ".join(slip(w) if k == 1 else w for k, w in enumerate(x.split())) for x in o])
+    assert not overlap.chained(*pair, h)
+    rows = [(1, "train", *pair[0]), (2, "dev", *pair[1])]
+    rows += [(10 + j, "train" if j % 2 else "dev", " ".join(x), [f"only{j} one{j} answer{j}"]) for j, (k, x) in enumerate(asked) if k != i]
+    assert len(rows) > 2 + overlap.COMMON
+    d = spark.createDataFrame(rows, "record_id bigint, split string, question string, candidates array<string>")
+    assert {(r.key_a, r.key_b) for r in overlap.same_items(d).collect()} == {(1, 2)}
+
+
+def test_a_sentence_pattern_alone_is_no_case():
+    h = winnow.Hasher()
+    a = "Halfway through, what lies against the awning while the puppeteer parks the folded cone and the bowler leaves?", ["It stays above the trellis", "It stays under the dock", "Only the lamp turns upwards"]
+    b = "In the last frames, what lies against the trellis while the lifeguard carries the ceramic barrel and the pedestrian leaves?", ["Only the clamp turns upwards", "It stays under the nook", "It stays above the cellar"]
+    q, o = overlap.coverage(*a, *b, h)
+    assert q >= overlap.QUESTION and o >= overlap.OPTIONS and q + o < overlap.SINGLE and not overlap.chained(a, b, h)
+    assert overlap.chained(a, (a[0].upper(), []), h) and overlap.chained(("", ["one"]), (None, ["One!"]), h)
+
+
 def test_hot_words_are_refined_level_by_level(spark, monkeypatch):
     monkeypatch.setattr(overlap, "COMMON", 2)
     monkeypatch.setattr(overlap, "BLOCK", 4)
