@@ -301,6 +301,21 @@ def test_records_that_share_a_common_fingerprint_only_meet(spark):
     assert {(r.key_a, r.key_b) for r in overlap.same_items(d).collect()} == {(1, 2)}
 
 
+def test_levels_leave_no_shuffle_files(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "COMMON", 2)
+    monkeypatch.setattr(overlap, "DENSE", 4)
+    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    rows = [(i, "train" if i % 2 else "dev", "Which of these people moves the box at the beginning?", [f"the {NOUNS[i % 4]} and the {NOUNS[8 + i % 3]} roll", f"only the {NOUNS[16 + i % 40]} stays"]) for i in range(80)]
+    d = spark.createDataFrame(rows, "record_id bigint, split string, question string, candidates array<string>")
+    at = []
+    meet = overlap._meet
+    monkeypatch.setattr(overlap, "_meet", lambda keys: at.append(held()) or meet(keys))
+    before = held()
+    overlap.same_items(d)
+    # but for the counts of the option words, at most SLOTS rows, which are collected
+    assert len(at) == overlap.LEVELS and max(at) <= before + 1
+
+
 def test_a_sentence_pattern_alone_is_no_case():
     h = winnow.Hasher()
     a = "Halfway through, what lies against the awning while the puppeteer parks the folded cone and the bowler leaves?", ["It stays above the trellis", "It stays under the dock", "Only the lamp turns upwards"]
