@@ -9,8 +9,9 @@ value interval of its cell; every further pass counts the rows below the
 midpoints of all open intervals, and narrows them to the smallest and greatest
 value of the part that holds the rank, until that is a single value.
 
-NaN and infinite values count as nulls; nulls are ignored; a group without
-values has no row.  The percentile q/1000 of n values is the
+Nulls are ignored; a group without values has no row.  NaN and infinite values
+count as nulls unless ``to_long`` is told to keep them; then NaN is the greatest
+value of all, as in SQL.  The percentile q/1000 of n values is the
 ceil(n*q/1000)-th smallest (at least the first), always a value of the column.
 """
 
@@ -44,17 +45,19 @@ def finite(c: Column) -> Column:
     return F.when(F.abs(d) < F.lit(float("inf")), d)  # NaN is greater than any value
 
 
-def to_long(df: DataFrame, groups: Sequence[str], metrics: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
-    """``groups``, ``extra``, ``metric`` and ``value``: one row per finite value."""
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), finite(F.col(m)).alias("value")) for m in metrics])
+def to_long(df: DataFrame, groups: Sequence[str], metrics: Sequence[str], extra: Sequence[str] = (), finite_only: bool = True) -> DataFrame:
+    """``groups``, ``extra``, ``metric`` and ``value``: one row per finite value, or per value that is not null."""
+    value = finite if finite_only else lambda c: c.cast("double")
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), value(F.col(m)).alias("value")) for m in metrics])
     return df.select(*groups, *extra, F.explode(pairs).alias("_m")).select(*groups, *extra, "_m.metric", "_m.value").filter("value IS NOT NULL")
 
 
 def _cell(v: Column) -> Column:
-    """Cell number, ordered as the values; 0 holds zero alone."""
-    # 1100 octaves keep the numbers of the smallest magnitudes above zero
+    """Cell number, ordered as the values; zero, NaN and the infinities have cells of their own."""
+    # 1100 octaves keep the numbers of the smallest magnitudes above zero, 2200 lie above the greatest
     mag = F.floor(F.log2(F.abs(v)) * CELLS_PER_OCTAVE).cast("bigint") + F.lit(1100 * CELLS_PER_OCTAVE)
-    return F.when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0).cast("bigint"))
+    end, inf = F.lit(2200 * CELLS_PER_OCTAVE).cast("bigint"), F.lit(float("inf"))
+    return F.when(F.isnan(v), end + 1).when(v == inf, end).when(v == -inf, -end).when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0).cast("bigint"))
 
 
 def summarize(long: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -87,8 +90,8 @@ def estimate(summary: DataFrame, groups: Sequence[str], permille: Sequence[int])
 
 
 def _part(v: Column, lo: Column, hi: Column) -> Column:
-    """Part of the interval that holds ``v``; halves keep the difference finite."""
-    return F.least(F.lit(PARTS - 1), F.floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * PARTS).cast("int"))
+    """Part of the interval that holds ``v``; its ends have one sign, so their difference is finite, and above zero."""
+    return F.least(F.lit(PARTS - 1), F.floor((v - lo) / (hi - lo) * PARTS).cast("int"))
 
 
 def bisect_percentiles(long: DataFrame, groups: Sequence[str], permille: Sequence[int], summary: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from framewright.llm import packing, percentiles as P
+from framewright.llm import packing, percentiles as P, queries
 
 
 def exact(values, permille):
@@ -123,3 +123,35 @@ def test_many_intervals_are_joined_over_salts(spark, monkeypatch):
     long = P.to_long(data(spark, rows).select("g", "metric_a"), ["g"], ["metric_a"])
     got = {(x.g, x.permille): x.value for x in P.bisect_percentiles(long, ["g"], (100, 500, 990)).collect()}
     assert got == {(g, q): exact([x for h, _, x, *_ in rows if h == g], q) for g in ("hot", "cold") for q in (100, 500, 990)}
+
+
+def test_neighbouring_subnormals_are_told_apart(spark):
+    v = [n * 5e-324 for n in range(180, 400)]
+    long = P.to_long(data(spark, [("a", 1, s * x, "x", 1, "m") for x in v for s in (1, -1)]).select("g", "metric_a"), ["g"], ["metric_a"])
+    got = {x.permille: x.value for x in P.bisect_percentiles(long, ["g"], (10, 250, 500, 900, 999)).collect()}
+    assert got == {q: exact([s * x for x in v for s in (1, -1)], q) for q in (10, 250, 500, 900, 999)}
+
+
+def test_query_counts_nan_and_infinite_timings(spark, tmp_path):
+    r = random.Random(9)
+    pool = [float("inf"), float("-inf"), float("nan"), None]
+    rows = [(i, ("a", None)[i % 2], "g", "dense", r.choice([*pool, r.lognormvariate(5, 2), r.lognormvariate(5, 2)]), float("nan") if i % 2 else 1.5) for i in range(400)]
+    d = spark.createDataFrame(rows, "result_id bigint, benchmark string, item_group string, arm string, end_to_end_ms double, generate_ms double")
+    d.selectExpr("*", "timestamp'2026-01-01' AS finished_at", "timestamp'2026-01-02' AS ingested_at").write.parquet(f"{tmp_path}/item_results.parquet")
+
+    def key(x):  # NaN is the greatest value
+        return (math.isnan(x), 0 if math.isnan(x) else x)
+
+    want = {}
+    for b in ("a", None):
+        for at, metric in ((4, "end_to_end_ms"), (5, "generate_ms")):
+            v = sorted(key(x[at]) for x in rows if x[1] == b and x[at] is not None)
+            want |= {(b, metric, q): (len(v), exact(v, q)) for q in queries.PERMILLE}
+    assert {v for _, v in want.values()} >= {key(x) for x in pool[:3]}
+    got = {(x.benchmark, x.metric, x.permille): (x.n_values, key(x.value)) for x in queries.p5_percentiles(spark, str(tmp_path)).collect()}
+    assert got == want
+    merged = {(x.benchmark, x.metric, x.permille): (x.n_values, key(x.value)) for x in queries.p5_merged(spark, str(tmp_path)).collect()}
+    assert merged.keys() == want.keys()
+    for k, (n, (nan, x)) in want.items():
+        assert merged[k][0] == n and merged[k][1][0] == nan
+        assert merged[k][1][1] == x or abs(merged[k][1][1] - x) <= P.error_bound() * abs(x)
